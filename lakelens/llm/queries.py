@@ -15,9 +15,31 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakelens.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("path", "offset")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakelens.llm.ring import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+OP4 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4}
