@@ -65,7 +65,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about `most` bytes of text; a longer text comes alone, whole."""
     _, offsets = utf8(batch.column(column))
     n, at = batch.num_rows, 0
@@ -160,14 +160,14 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
 _SPREAD = [U64(int(x) | 1) for x in _RNG.integers(1, 2**63, 64)]
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every run of k word hashes, in order."""
-    n = len(words) - k + 1
+def gram_hashes(words: np.ndarray, k: int, places: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every run of k word hashes, in order, or of those at the given places."""
+    n = len(words) - k + 1 if places is None else len(places)
     if n <= 0:
         return np.empty(0, U64)
     out = np.zeros(n, U64)
     for i in range(k):
-        out = out * U64(0x9FB21C651E98DF25) + words[i : i + n] * _SPREAD[i]
+        out = out * U64(0x9FB21C651E98DF25) + (words[i : i + n] if places is None else words[places + i]) * _SPREAD[i]
     return mix(out ^ U64(k))
 
 
@@ -183,7 +183,3 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(n)[:-1]
     out[at] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
-
-
-def by_batch(pandas_rows: int = 2000) -> dict[str, str]:
-    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(pandas_rows)}
