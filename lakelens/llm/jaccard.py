@@ -7,10 +7,10 @@
    are one group, and only groups enter the index of shingles.
 3. Groups that meet in a shingle are filtered by size and by position, expanded into their classes
    and verified on the whole sets. To link a thousand near copies without their million pairs, each
-   group is first held against just two others of a shingle, its smallest and largest; what links is
-   joined into components. After that only pairs of different components are left to
-   compare, and all of those are. So no link between components is missed, and none inside one can
-   change it.
+   class is first held against just one other of a shingle, for a few rounds: first the class that
+   shares most with the others, then any. What links is joined into components. After that only
+   pairs of different components are left to compare, and all of those are. So no link between
+   components is missed, and none inside one can change it.
 
 Words end at ASCII white space, A-Z lowered; sets hold shingles of ``words`` words, or the whole
 text as one if it has fewer. Null, empty and blank texts have empty sets and are linked with
@@ -118,12 +118,10 @@ def classify(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return keep(over_docs(docs, run, "doc_id long, n long, cid long, gid long, prefix array<long>"), "classes")
 
 
-def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those that are similar, on whole sets."""
+def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cid, s): the whole set of each wanted class (cid, rep). A filter of fixed size keeps most other documents from travelling."""
     spark = docs.sparkSession
-    pairs = keep(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps, "cid").select("cid", F.coalesce("rep", F.lit(0)).alias("rep"))
-    bit = F.col("cid").bitwiseXOR(F.col("rep")).bitwiseAND((1 << NEEDED) - 1)
+    bit = F.col("cid").bitwiseXOR(F.coalesce("rep", F.lit(0))).bitwiseAND((1 << NEEDED) - 1)
     words_of = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     flags = np.zeros(1 << (NEEDED - 6), np.int64)
     for r in words_of.toLocalIterator():  # a fixed number of words
@@ -141,7 +139,11 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num:
         if cids:
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "s"])
 
-    sets = keep(over_docs(docs, run, "cid long, s binary").dropDuplicates(["cid"]), "sets")
+    return keep(over_docs(docs, run, "cid long, s binary").dropDuplicates(["cid"]), "sets")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) of classes those that are similar, on whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,40 +160,52 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num:
     return keep(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den: int, rounds: int = 3) -> DataFrame:
     """(node, root) of every class that is linked with another."""
     has = found.filter("cid is not null")
     reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "reps")
     groups = has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *[f(c, "gid").alias(f"{p}_{c}") for p, f in (("lo", F.min_by), ("hi", F.max_by)) for c in ("gid", "n", "pos")]).filter("m > 1").drop("m")
-    shared = keep(index.join(ends, "token"), "shared")
+    # shingles met by the very same groups, as those of a passage, tell the same: one of them stays
+    met = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("y")).filter("m > 1")
+    met = met.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    shared = keep(index.join(met, "token"), "shared")
+
+    members = reps.select("gid", "cid")
+    central = shared.groupBy("gid").agg(F.sum("m").alias("central"))
+    many = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    twins = many.join(groups.select("gid", "n"), "gid").select(F.xxhash64("gid", F.lit("group")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "m")
+    post = shared.select("token", "gid", "n", "pos", "m").unionByName(twins).join(central, "gid", "left").join(members, "gid")
+    post = keep(post.select("token", "n", "pos", "cid", F.coalesce("central", F.lit(0)).alias("central")), "postings")
+    sets = needed_sets(docs, post.select("cid").distinct().join(reps, "cid").select("cid", "rep"), words)
 
     def fits(n: str, pos: str, m: str, mpos: str) -> str:
-        """Sizes near enough, and from the shared shingle on enough left to share."""
+        """Sizes near enough, and around the shared shingle enough left to share."""
         return f"{den} * least({n}, {m}) >= {num} * greatest({n}, {m}) and {den + num} * (1 + least({n} - {pos} - 1, {m} - {mpos} - 1) + least({pos}, {mpos})) >= {num} * ({n} + {m})"
 
-    members = reps.select("gid", "cid")
-    stars = [shared.filter(f"gid <> {p}_gid and {fits('n', 'pos', f'{p}_n', f'{p}_pos')}").select(F.col("gid").alias("g"), F.col(f"{p}_gid").alias("h")) for p in ("lo", "hi")]
-    pairs = stars[0].unionByName(stars[1]).distinct()
-    first = members.groupBy("gid").agg(F.min("cid").alias("first"))  # a group is held against one class of another
-    spread = pairs.join(members.toDF("g", "a"), "g").join(first.toDF("h", "b"), "h").select("a", "b")
-    inside = members.join(first, "gid").filter("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    linked = verify(docs, reps, spread.unionByName(inside), words, num, den)
-    roots = keep(components(linked), "roots")
-
-    # all that is left: classes that meet in a shingle or a group and are not in one component yet
-    named = members.join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    at = shared.select("token", "gid", "n", "pos").join(named, "gid")
-    mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
-    at = keep(at.join(mixed, "token"), "mixed")
-    other = at.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "gid")])
-    meet = at.join(other, "token").filter(f"root < root2 and {fits('n', 'pos', 'n2', 'pos2')}").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-    mixed = named.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("gid")
-    same = named.join(mixed, "gid")
-    same = same.join(same.select("gid", F.col("cid").alias("cid2"), F.col("root").alias("root2")), "gid").filter("root < root2").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-    rest = verify(docs, reps, meet.unionByName(same).distinct(), words, num, den)
-    return components(linked.unionByName(rest))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    links = tested = None
+    for turn in range(rounds + 1):
+        if links is None:
+            named = post.withColumn("root", F.col("cid"))
+        else:
+            roots = keep(components(links), "roots").toDF("cid", "root")
+            named = post.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        order = F.col("central") if turn == 0 else F.xxhash64("cid", F.lit(turn))
+        star = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[F.max_by(c, order).alias(f"{c}2") for c in ("n", "pos", "cid", "root")]).filter("x < y").drop("x", "y")
+        if turn < rounds:  # each class against one other of a shingle
+            meet = named.join(star, "token").filter(f"root <> root2 and {fits('n', 'pos', 'n2', 'pos2')}")
+        else:  # all that is left: classes that meet and are not in one component yet
+            left = keep(named.join(star.select("token"), "token"), "left")
+            meet = left.join(left.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "pos", "cid", "root")]), "token").filter(f"root < root2 and {fits('n', 'pos', 'n2', 'pos2')}")
+        pairs = meet.select(*pair("cid", "cid2")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        new = verify(sets, pairs, num, den)
+        links = new if links is None else links.unionByName(new)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    return components(links)
 
 
 def join_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:

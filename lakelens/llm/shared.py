@@ -39,6 +39,7 @@ def keep(df: DataFrame, label: str, codec: str = "lz4_raw") -> DataFrame:
     """Cuts lineage: written to the shared folder and reread, so lost executors cost no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
+    spark._jvm.System.gc()  # shuffle files of what was written go with the plans that made them
     return spark.read.schema(df.schema).parquet(path)
 
 
