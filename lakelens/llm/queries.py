@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lakelens.llm.shared import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakelens.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakelens.llm.secrets import scan_secrets
 
