@@ -219,3 +219,11 @@ def join_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     names = classes.select("cid", "root").join(named, "root").select("cid", "component_id")
     return each.join(names, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, with all their columns, of the document of smallest doc_id in each component; equal rows stay once."""
+    joined = join_similar(docs, words, num, den)
+    kept = keep(joined.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"])
