@@ -5,8 +5,11 @@
 2. Documents with the same set are one class. The first ``n - ceil(t n) + 1`` shingles of a class
    in that order are its prefix; two similar sets share one. Classes with identical prefix and size
    are one group, and only groups enter the index of shingles.
-3. Groups that meet in a shingle are filtered by size and by position, expanded into their classes
-   and verified on the whole sets. To link a thousand near copies without their million pairs, each
+3. Groups that meet in a shingle are filtered by size and by position and expanded into their classes.
+   Classes are then held against each other by their parities: bit i of a class tells whether an odd
+   number of its shingles fall on i. Two sets differ in at least as many shingles as parities, so a
+   pair with too many unequal bits cannot be similar; what passes is verified on the whole sets, and
+   only those sets are fetched. To link a thousand near copies without their million pairs, each
    class is first held against just one other of a shingle, for a few rounds: first the class that
    shares most with the others, then any. What links is joined into components. After that only
    pairs of different components are left to compare, and all of those are. So no link between
@@ -58,6 +61,16 @@ def class_of(s: np.ndarray) -> int:
     return int(gram_hashes(parts, 3).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """One bit for each of 2**k slots, about as many as there are shingles: whether an odd number of them falls on it.
+
+    The bits of 2**(k - 1) slots are the exclusive or of both halves, so classes of either size compare.
+    """
+    slots = 1 << min(max(6, (len(s) - 1).bit_length()), 20)
+    odd = np.bincount((s >> U64(40)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def over_docs(docs: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,44 +110,54 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def classify(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cid, gid and prefix of every document; the last three are null for empty sets."""
+    """doc_id, n, cid, gid, prefix and bits of every document; the last four are null for empty sets."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, words))  # of a fixed size
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rank = sketch.value
-        n, cid, gid, prefix = [], [], [], []
+        n, cid, gid, prefix, bits = [], [], [], [], []
         for s in shingle_sets(part, words):
             n.append(len(s))
             if not len(s):
-                cid.append(None), gid.append(None), prefix.append(None)
+                cid.append(None), gid.append(None), prefix.append(None), bits.append(None)
                 continue
             first = s[np.lexsort((s, rank[(s & U64((1 << BITS) - 1)).astype(np.int64)]))[: len(s) - -(-num * len(s) // den) + 1]]
             cid.append(class_of(s))
             gid.append(class_of(np.append(first, U64(len(s)))))
             prefix.append(first.view(np.int64))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "prefix"])
+            bits.append(parities(s))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "prefix", "bits"])
 
-    return keep(over_docs(docs, run, "doc_id long, n long, cid long, gid long, prefix array<long>"), "classes")
+    return keep(over_docs(docs, run, "doc_id long, n long, cid long, gid long, prefix array<long>, bits array<long>"), "classes")
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cid, s): the whole set of each wanted class (cid, rep). A filter of fixed size keeps most other documents from travelling."""
+    """(cid, s): the whole set of each wanted class (cid, rep).
+
+    Two filters of fixed size, over documents and over classes, keep most others from being cut into shingles and from travelling.
+    """
     spark = docs.sparkSession
-    bit = F.col("cid").bitwiseXOR(F.coalesce("rep", F.lit(0))).bitwiseAND((1 << NEEDED) - 1)
-    words_of = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    flags = np.zeros(1 << (NEEDED - 6), np.int64)
-    for r in words_of.toLocalIterator():  # a fixed number of words
-        flags[r.w] = r.bits
-    sent = spark.sparkContext.broadcast(flags)
+    doc = F.coalesce("rep", F.lit(0))
+    sent = []
+    for key in (doc, F.col("cid").bitwiseXOR(doc)):
+        bit = key.bitwiseAND((1 << NEEDED) - 1)
+        words_of = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+        flags = np.zeros(1 << (NEEDED - 6), np.int64)
+        for r in words_of.toLocalIterator():  # a fixed number of words
+            flags[r.w] = r.bits
+        sent.append(spark.sparkContext.broadcast(flags))
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        on, cids, sets = sent.value, [], []
+        by_doc, by_class = sent[0].value, sent[1].value
+        d = part.column("doc_id").fill_null(0).to_numpy() & ((1 << NEEDED) - 1)
+        part = part.filter(pa.array((by_doc[d >> 6] >> (d & 63) & 1).astype(bool)))
+        cids, sets = [], []
         for d, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part, words), strict=True):
             if len(s):
                 c = class_of(s)
                 b = (c ^ (d or 0)) & ((1 << NEEDED) - 1)
-                if on[b >> 6] >> (b & 63) & 1:
+                if by_class[b >> 6] >> (b & 63) & 1:
                     cids.append(c), sets.append(s.tobytes())
         if cids:
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "s"])
@@ -162,8 +185,9 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den: int, rounds: int = 3) -> DataFrame:
     """(node, root) of every class that is linked with another."""
+    spark = docs.sparkSession
     has = found.filter("cid is not null")
-    reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "reps")
+    reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.first("bits").alias("bits")), "reps")
     groups = has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     # shingles met by the very same groups, as those of a passage, tell the same: one of them stays
@@ -171,20 +195,27 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     met = met.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
     shared = keep(index.join(met, "token"), "shared")
 
-    members = reps.select("gid", "cid")
+    members = reps.select("gid", "cid", "bits")
     central = shared.groupBy("gid").agg(F.sum("m").alias("central"))
     many = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     twins = many.join(groups.select("gid", "n"), "gid").select(F.xxhash64("gid", F.lit("group")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "m")
     post = shared.select("token", "gid", "n", "pos", "m").unionByName(twins).join(central, "gid", "left").join(members, "gid")
-    post = keep(post.select("token", "n", "pos", "cid", F.coalesce("central", F.lit(0)).alias("central")), "postings")
-    sets = needed_sets(docs, post.select("cid").distinct().join(reps, "cid").select("cid", "rep"), words)
+    post = keep(post.select("token", "n", "pos", "cid", "bits", F.coalesce("central", F.lit(0)).alias("central")), "postings")
 
     def fits(n: str, pos: str, m: str, mpos: str) -> str:
         """Sizes near enough, and around the shared shingle enough left to share."""
         return f"{den} * least({n}, {m}) >= {num} * greatest({n}, {m}) and {den + num} * (1 + least({n} - {pos} - 1, {m} - {mpos} - 1) + least({pos}, {mpos})) >= {num} * ({n} + {m})"
 
+    def folded(x: str, y: str) -> str:
+        return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+
+    #: Sets that differ in more shingles than similar ones can have more unequal parities; null (sizes too far apart to fold) passes.
+    unequal = f"aggregate(zip_with({folded('bits', 'bits2')}, {folded('bits2', 'bits')}, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
+    near = f"coalesce({den + num} * {unequal} <= {den - num} * (n + n2), true)"
+    both = f"{fits('n', 'pos', 'n2', 'pos2')} and {near}"
+
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = tested = None
+    links = tested = sets = None
     for turn in range(rounds + 1):
         if links is None:
             named = post.withColumn("root", F.col("cid"))
@@ -192,16 +223,25 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
             roots = keep(components(links), "roots").toDF("cid", "root")
             named = post.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         order = F.col("central") if turn == 0 else F.xxhash64("cid", F.lit(turn))
-        star = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[F.max_by(c, order).alias(f"{c}2") for c in ("n", "pos", "cid", "root")]).filter("x < y").drop("x", "y")
+        star = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[F.max_by(c, order).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "bits")]).filter("x < y").drop("x", "y")
         if turn < rounds:  # each class against one other of a shingle
-            meet = named.join(star, "token").filter(f"root <> root2 and {fits('n', 'pos', 'n2', 'pos2')}")
+            meet = named.join(star, "token").filter(f"root <> root2 and {both}")
         else:  # all that is left: classes that meet and are not in one component yet
             left = keep(named.join(star.select("token"), "token"), "left")
-            meet = left.join(left.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "pos", "cid", "root")]), "token").filter(f"root < root2 and {fits('n', 'pos', 'n2', 'pos2')}")
+            meet = left.join(left.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "bits")]), "token").filter(f"root < root2 and {both}")
         pairs = meet.select(*pair("cid", "cid2")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("cid"), "cid", "left_anti")
+        wanted = keep(wanted.join(reps, "cid").select("cid", "rep"), "wanted")
+        if not wanted.isEmpty():
+            more = needed_sets(docs, wanted, words)
+            sets = more if sets is None else sets.unionByName(more)
+        elif sets is None:
+            sets = spark.createDataFrame([], "cid long, s binary")
         new = verify(sets, pairs, num, den)
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
