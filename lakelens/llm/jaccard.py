@@ -37,6 +37,10 @@ from lakelens.llm.shared import LOWER, SPACED, U64, gram_hashes, keep, mix, pick
 BITS, SLOT = 22, 14
 #: Bits of the filter that spares most documents a second trip; a full one only makes more of them travel.
 NEEDED = 24
+#: The same for shingles that more than one group may have.
+SHARED = 26
+#: Star rounds end once this many pairs a posting, or fewer, are left to compare.
+FEW = 16
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -80,6 +84,31 @@ def over_docs(docs: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return docs.mapInArrow(each, schema)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters by their four byte planes, compressed: high bytes are nearly always 0 and take no room."""
+    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 << SLOT, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def flags_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2**bits bits, whatever the number of keys (one long column, key)."""
+    bit = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("bit"))
+    rows = bit.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (len(flags) * 64 - 1)
+    return (flags[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
     """How many sets hold a shingle of each counter, over all documents."""
     size, slots = 1 << BITS, 1 << (BITS - SLOT)
@@ -93,19 +122,19 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
                     np.add.at(total, (np.concatenate(sets) & U64(size - 1)).astype(np.int64), 1)
         parts = total.reshape(slots, -1)
         kept = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(kept.astype(np.int32)), "n": pa.array([parts[k].astype(np.uint32).tobytes() for k in kept], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(kept.astype(np.int32)), "n": pa.array([packed(parts[k]) for k in kept], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, n in zip(batch.column("slot").to_pylist(), batch.column("n"), strict=True):
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(n.as_buffer(), np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "n": pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())})
+                sums[slot] = sums.get(slot, 0) + unpacked(n.as_py()).astype(np.uint64)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "n": pa.array([packed(np.minimum(v, 2**32 - 1).astype(np.uint32)) for v in sums.values()], pa.binary())})
 
     schema = "slot int, n binary"
     out = np.zeros((slots, 1 << SLOT), np.uint32)
     for r in docs.mapInArrow(count, schema).repartition(32, "slot").mapInArrow(add, schema).toLocalIterator():
-        out[r.slot] = np.frombuffer(r.n, np.uint32)
+        out[r.slot] = unpacked(bytes(r.n))
     return out.ravel()
 
 
@@ -139,25 +168,15 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """
     spark = docs.sparkSession
     doc = F.coalesce("rep", F.lit(0))
-    sent = []
-    for key in (doc, F.col("cid").bitwiseXOR(doc)):
-        bit = key.bitwiseAND((1 << NEEDED) - 1)
-        words_of = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-        flags = np.zeros(1 << (NEEDED - 6), np.int64)
-        for r in words_of.toLocalIterator():  # a fixed number of words
-            flags[r.w] = r.bits
-        sent.append(spark.sparkContext.broadcast(flags))
+    sent = [spark.sparkContext.broadcast(flags_of(wanted.select(key.alias("key")), NEEDED)) for key in (doc, F.col("cid").bitwiseXOR(doc))]
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        by_doc, by_class = sent[0].value, sent[1].value
-        d = part.column("doc_id").fill_null(0).to_numpy() & ((1 << NEEDED) - 1)
-        part = part.filter(pa.array((by_doc[d >> 6] >> (d & 63) & 1).astype(bool)))
-        cids, sets = [], []
+        by_doc, by_class, cids, sets = sent[0].value, sent[1].value, [], []
+        part = part.filter(pa.array(flagged(by_doc, part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))))
         for d, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part, words), strict=True):
             if len(s):
                 c = class_of(s)
-                b = (c ^ (d or 0)) & ((1 << NEEDED) - 1)
-                if by_class[b >> 6] >> (b & 63) & 1:
+                if flagged(by_class, np.array([c ^ (d or 0)]))[0]:
                     cids.append(c), sets.append(s.tobytes())
         if cids:
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "s"])
@@ -189,7 +208,21 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     has = found.filter("cid is not null")
     reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.first("bits").alias("bits")), "reps")
     groups = has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # most shingles are of one group: they are told by their names alone, and only others travel with all they carry
+    hot = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    sent = spark.sparkContext.broadcast(flags_of(keep(hot, "hot"), SHARED))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            token, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            on = np.flatnonzero(flagged(sent.value, token))
+            at = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([batch.column("gid").take(at), batch.column("n").take(at), pa.array(pos[on].astype(np.int32)), pa.array(token[on])], names=["gid", "n", "pos", "token"])
+
+    index = groups.mapInArrow(postings, "gid long, n long, pos int, token long")
     # shingles met by the very same groups, as those of a passage, tell the same: one of them stays
     met = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("y")).filter("m > 1")
     met = met.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
@@ -215,17 +248,18 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     both = f"{fits('n', 'pos', 'n2', 'pos2')} and {near}"
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = tested = sets = None
+    links = tested = sets = roots = None
+    named = post.withColumn("root", F.col("cid"))
     for turn in range(rounds + 1):
-        if links is None:
-            named = post.withColumn("root", F.col("cid"))
-        else:
-            roots = keep(components(links), "roots").toDF("cid", "root")
-            named = post.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         order = F.col("central") if turn == 0 else F.xxhash64("cid", F.lit(turn))
-        star = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[F.max_by(c, order).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "bits")]).filter("x < y").drop("x", "y")
-        if turn < rounds:  # each class against one other of a shingle
-            meet = named.join(star, "token").filter(f"root <> root2 and {both}")
+        star = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"), *[F.max_by(c, order).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "bits")])
+        star = keep(star.filter("x < y").drop("x", "y"), "stars")
+        rows, left = star.agg(F.sum("m"), F.sum(F.expr("m * (m - 1) / 2"))).first()
+        if not rows:
+            break
+        last = turn == rounds or left <= FEW * rows
+        if not last:  # each class against one other of a shingle
+            meet = named.join(star.drop("m"), "token").filter(f"root <> root2 and {both}")
         else:  # all that is left: classes that meet and are not in one component yet
             left = keep(named.join(star.select("token"), "token"), "left")
             meet = left.join(left.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "pos", "cid", "root", "bits")]), "token").filter(f"root < root2 and {both}")
@@ -243,9 +277,14 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
         elif sets is None:
             sets = spark.createDataFrame([], "cid long, s binary")
         new = verify(sets, pairs, num, den)
-        links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    return components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = keep(components(links), "roots").toDF("cid", "root")
+            named = post.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        if last:
+            break
+    return spark.createDataFrame([], "cid long, root long") if roots is None else roots
 
 
 def join_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
