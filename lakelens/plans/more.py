@@ -92,3 +92,58 @@ def rank_fusion(s: SparkSession, d: str) -> DataFrame:
 
     found = F.when(F.count(F.lit(1)) == 2, F.lit("both")).otherwise(F.min("leg"))
     return leg("size", "size").union(leg("published", "date")).groupBy("paper_id").agg(F.round(F.sum(X.reciprocal_rank(F.col("r"))), 12).alias("score"), found.alias("found_by"))
+
+
+@register("JOI04_indexed_citers", "SELECT citing_id FROM citations SEMI JOIN indexed ON paper_id = citing_id WHERE cited_id = 7")
+def indexed_citers(s: SparkSession, d: str) -> DataFrame:
+    indexed = M.chunks(s, d).filter("section = 'R'").select("paper_id")
+    return M.citations(s, d).filter("cited_id = 7").join(indexed, F.col("citing_id") == F.col("paper_id"), "left_semi").select("citing_id")
+
+
+@register("AGG15_uptake", "SELECT cited_id, count(*) AS total, count(*) FILTER (month = '9503') AS later FROM citations JOIN papers ON citing_id = paper_id GROUP BY cited_id HAVING count(*) FILTER (month = '9503') > 0 ORDER BY later DESC, total DESC, cited_id LIMIT 8")
+def uptake(s: SparkSession, d: str) -> DataFrame:
+    edges = M.citations(s, d).join(M.papers(s, d).select("paper_id", "month"), F.col("citing_id") == F.col("paper_id"))
+    counts = edges.groupBy("cited_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("month") == "9503").alias("later"))
+    return counts.filter("later > 0").orderBy(F.desc("later"), F.desc("total"), "cited_id").limit(8)
+
+
+@register("AGG16_facets", """, p AS (SELECT category = '1-URGENT' AS in_category, year = 1995 AS in_year, * FROM papers)
+SELECT 'category' AS facet, category AS value, count(*) AS n FROM p WHERE in_year GROUP BY category
+UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM p WHERE in_category GROUP BY year""")
+def facets(s: SparkSession, d: str) -> DataFrame:
+    p = M.papers(s, d)  # one scan feeds all facets: each row counts for a facet if it passes every other filter
+    each = F.array(
+        F.when(F.col("year") == 1995, F.struct(F.lit("category").alias("facet"), F.col("category").alias("value"))),
+        F.when(F.col("category") == "1-URGENT", F.struct(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value"))),
+    )
+    return p.select(F.explode(F.array_compact(each)).alias("e")).groupBy("e.facet", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("AGG24_niche", "SELECT category, count(*) AS df, round(ln((SELECT count(*) FROM papers)::DOUBLE / count(*)), 9) AS idf FROM papers GROUP BY category")
+def niche(s: SparkSession, d: str) -> DataFrame:
+    df = M.papers(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("category", "df", F.round(F.log(F.sum("df").over(Window.partitionBy()) / F.col("df")), 9).alias("idf"))
+
+
+@register("AGG30_centroids", "SELECT label, dim, round(avg(x), 5) AS mean, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY label, dim", views=False)
+def centroids(s: SparkSession, d: str) -> DataFrame:
+    x = M.load(s, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    return x.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@register("WIN09_windows", r"SELECT doc_id, i AS start, least(i + 1000, n) AS stop FROM (SELECT doc_id, n, unnest(range(0, greatest(n - 150, 1), 850)) AS i FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM documents) WHERE n > 0)", views=False)
+def windows(s: SparkSession, d: str) -> DataFrame:
+    n = F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\x0B\f\r]+)"))).cast("long")
+    docs = M.load(s, d, "documents").select("doc_id", n.alias("n")).filter("n > 0")
+    return docs.select("doc_id", "n", F.explode(F.expr("sequence(0L, greatest(n - 150, 1) - 1, 850L)")).alias("start")).select("doc_id", "start", F.expr("least(start + 1000, n)").alias("stop"))
+
+
+@register("WIN12_first_seen", "SELECT text_id, min(doc_id) AS doc_id FROM (SELECT sha256(coalesce(text, '')) AS text_id, doc_id FROM documents) GROUP BY text_id", views=False)
+def first_seen(s: SparkSession, d: str) -> DataFrame:
+    return M.load(s, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_id"), "doc_id").groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@register("GRF02_frontier", "SELECT l_partkey AS cited_id, count(*) AS edges FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100", views=False)
+def frontier(s: SparkSession, d: str) -> DataFrame:
+    edges = M.load(s, d, "lineitem").groupBy(F.col("l_partkey").alias("cited_id")).agg(F.count(F.lit(1)).alias("edges"))
+    return edges.orderBy(F.desc("edges"), "cited_id").limit(100)
