@@ -1,7 +1,9 @@
 """Grouped prefix join: all documents whose shingle sets have a Jaccard similarity of num / den or more.
 
-1. Shingles of every whole text are counted into a sketch of 2**BITS counters (a fixed size), which
-   gives all shingles one order, rare first. A shingle that many documents have stands late.
+1. Shingles of every whole text are counted into a sketch of 2**BITS counters (a fixed size), whose
+   levels, powers of two, give all shingles one order, rare first. A shingle that many documents have
+   stands late. As long as the counters are not all taken, prefixes are mostly of shingles that one
+   set alone has, and those are never posted; beyond that the order only tells common shingles apart.
 2. Documents with the same set are one class. The first ``n - ceil(t n) + 1`` shingles of a class
    in that order are its prefix; two similar sets share one. Classes with identical prefix and size
    are one group, and only groups enter the index of shingles.
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from lakelens.llm.components import components
 from lakelens.llm.shared import LOWER, SPACED, U64, gram_hashes, keep, mix, pick, portions, utf8, word_bounds, word_hashes
 
-BITS, SLOT = 22, 14
+#: Counters of the sketch, four bits each when broadcast (32 MB whatever the input), and how many of them travel together.
+BITS, SLOT = 26, 16
 #: Bits of the filter that spares most documents a second trip; a full one only makes more of them travel.
 NEEDED = 24
 #: The same for shingles that more than one group may have.
@@ -84,15 +87,12 @@ def over_docs(docs: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return docs.mapInArrow(each, schema)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counters by their four byte planes, compressed: high bytes are nearly always 0 and take no room."""
-    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def packed(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 << SLOT, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
 
 
 def flags_of(keys: DataFrame, bits: int) -> np.ndarray:
@@ -110,17 +110,21 @@ def flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """How many sets hold a shingle of each counter, over all documents."""
-    size, slots = 1 << BITS, 1 << (BITS - SLOT)
+    """How many sets hold a shingle of each counter, over all documents: levels of four bits, two to a byte.
+
+    A level is the binary logarithm, rounded up: 0 for a shingle of one set. A task's own counts end at 255.
+    """
+    slots, width = 1 << (BITS - SLOT), 1 << SLOT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(1 << BITS, np.uint8)
         for batch in batches:
             for part in portions(batch, "text"):
-                sets = list(shingle_sets(part, words))
-                if sets:
-                    np.add.at(total, (np.concatenate(sets) & U64(size - 1)).astype(np.int64), 1)
-        parts = total.reshape(slots, -1)
+                for s in shingle_sets(part, words):
+                    at = counter_of(s)
+                    n = total[at]
+                    total[at] = n + (n < 255)
+        parts = total.reshape(slots, width)
         kept = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_pydict({"slot": pa.array(kept.astype(np.int32)), "n": pa.array([packed(parts[k]) for k in kept], pa.binary())})
 
@@ -128,30 +132,40 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, n in zip(batch.column("slot").to_pylist(), batch.column("n"), strict=True):
-                sums[slot] = sums.get(slot, 0) + unpacked(n.as_py()).astype(np.uint64)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "n": pa.array([packed(np.minimum(v, 2**32 - 1).astype(np.uint32)) for v in sums.values()], pa.binary())})
+                sums.setdefault(slot, np.zeros(width, np.uint32))[:] += unpacked(n.as_py(), width)
+        levels = [np.minimum(np.ceil(np.log2(np.maximum(v, 1))), 15).astype(np.uint8) for v in sums.values()]
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "n": pa.array([packed(v[::2] | v[1::2] << 4) for v in levels], pa.binary())})
 
     schema = "slot int, n binary"
-    out = np.zeros((slots, 1 << SLOT), np.uint32)
+    out = np.zeros((slots, width // 2), np.uint8)
     for r in docs.mapInArrow(count, schema).repartition(32, "slot").mapInArrow(add, schema).toLocalIterator():
-        out[r.slot] = unpacked(bytes(r.n))
+        out[r.slot] = unpacked(bytes(r.n), width // 2)
     return out.ravel()
 
 
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return (s & U64((1 << BITS) - 1)).astype(np.int64)
+
+
+def level(sketch: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at = counter_of(s)
+    return sketch[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+
+
 def classify(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n, cid, gid, prefix and bits of every document; the last four are null for empty sets."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, words))  # of a fixed size
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
+        levels = sketch.value
         n, cid, gid, prefix, bits = [], [], [], [], []
         for s in shingle_sets(part, words):
             n.append(len(s))
             if not len(s):
                 cid.append(None), gid.append(None), prefix.append(None), bits.append(None)
                 continue
-            first = s[np.lexsort((s, rank[(s & U64((1 << BITS) - 1)).astype(np.int64)]))[: len(s) - -(-num * len(s) // den) + 1]]
+            first = s[np.lexsort((s, level(levels, s)))[: len(s) - -(-num * len(s) // den) + 1]]
             cid.append(class_of(s))
             gid.append(class_of(np.append(first, U64(len(s)))))
             prefix.append(first.view(np.int64))
