@@ -221,7 +221,7 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     spark = docs.sparkSession
     has = found.filter("cid is not null")
     reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.first("bits").alias("bits")), "reps")
-    groups = has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = keep(has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
     # most shingles are of one group: they are told by their names alone, and only others travel with all they carry
     hot = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     sent = spark.sparkContext.broadcast(flags_of(keep(hot, "hot"), SHARED))
