@@ -199,7 +199,12 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those that are similar, on whole sets."""
+    """Of the pairs (a, b) of classes those that are similar, on whole sets; a filter of fixed size keeps other sets from travelling."""
+    sent = pairs.sparkSession.sparkContext.broadcast(flags_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), NEEDED))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(flagged(sent.value, batch.column("cid").to_numpy())))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +217,7 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    sets = sets.mapInArrow(asked, "cid long, s binary")
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     return keep(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "similar")
 
