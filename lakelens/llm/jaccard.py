@@ -2,8 +2,9 @@
 
 1. Shingles of every whole text are counted into a sketch of 2**BITS counters (a fixed size), whose
    levels, powers of two, give all shingles one order, rare first. A shingle that many documents have
-   stands late. As long as the counters are not all taken, prefixes are mostly of shingles that one
-   set alone has, and those are never posted; beyond that the order only tells common shingles apart.
+   stands late. A counter of one says that one document alone has the shingle: it stands in its
+   prefix and never leaves it. The more counters are taken, the fewer are told so by the sketch; the
+   others are told by their names.
 2. Documents with the same set are one class. The first ``n - ceil(t n) + 1`` shingles of a class
    in that order are its prefix; two similar sets share one. Classes with identical prefix and size
    are one group, and only groups enter the index of shingles.
@@ -153,26 +154,32 @@ def level(sketch: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def classify(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cid, gid, prefix and bits of every document; the last four are null for empty sets."""
+    """doc_id, n, cid, gid, prefix, pos and bits of every document; the last five are null for empty sets.
+
+    prefix has the shingles that others may have, pos their places among all of the prefix.
+    """
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, words))  # of a fixed size
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
-        n, cid, gid, prefix, bits = [], [], [], [], []
+        n, cid, gid, prefix, pos, bits = [], [], [], [], [], []
         for s in shingle_sets(part, words):
             n.append(len(s))
             if not len(s):
-                cid.append(None), gid.append(None), prefix.append(None), bits.append(None)
+                cid.append(None), gid.append(None), prefix.append(None), pos.append(None), bits.append(None)
                 continue
-            first = s[np.lexsort((s, level(levels, s)))[: len(s) - -(-num * len(s) // den) + 1]]
+            common = level(levels, s)
+            order = np.lexsort((s, common))[: len(s) - -(-num * len(s) // den) + 1]
+            first, on = s[order], np.flatnonzero(common[order])
             cid.append(class_of(s))
             gid.append(class_of(np.append(first, U64(len(s)))))
-            prefix.append(first.view(np.int64))
+            prefix.append(first[on].view(np.int64))
+            pos.append(on.astype(np.int32))
             bits.append(parities(s))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "prefix", "bits"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "gid", "prefix", "pos", "bits"])
 
-    return keep(over_docs(docs, run, "doc_id long, n long, cid long, gid long, prefix array<long>, bits array<long>"), "classes")
+    return keep(over_docs(docs, run, "doc_id long, n long, cid long, gid long, prefix array<long>, pos array<int>, bits array<long>"), "classes")
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -227,7 +234,7 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     spark = docs.sparkSession
     has = found.filter("cid is not null")
     reps = keep(has.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.first("bits").alias("bits")), "reps")
-    groups = keep(has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+    groups = keep(has.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("pos").alias("pos")), "groups")
     # most shingles are of one group: they are told by their names alone, and only others travel with all they carry
     hot = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     sent = spark.sparkContext.broadcast(flags_of(keep(hot, "hot"), SHARED))
@@ -235,12 +242,11 @@ def similar_classes(docs: DataFrame, found: DataFrame, words: int, num: int, den
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
-            token, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            token, pos, size = lists.flatten().to_numpy(), batch.column("pos").flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             on = np.flatnonzero(flagged(sent.value, token))
             at = pa.array(row[on])
-            yield pa.RecordBatch.from_arrays([batch.column("gid").take(at), batch.column("n").take(at), pa.array(pos[on].astype(np.int32)), pa.array(token[on])], names=["gid", "n", "pos", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("gid").take(at), batch.column("n").take(at), pa.array(pos[on]), pa.array(token[on])], names=["gid", "n", "pos", "token"])
 
     index = groups.mapInArrow(postings, "gid long, n long, pos int, token long")
     # shingles met by the very same groups, as those of a passage, tell the same: one of them stays
