@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about `most` bytes of text; a longer text comes alone, whole."""
     _, offsets = utf8(batch.column(column))
     n, at = batch.num_rows, 0
@@ -146,7 +146,7 @@ class Prefix:
         return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of every word, in pieces of bounded memory."""
     out, at = np.empty(len(starts), U64), 0
     while at < len(starts):
