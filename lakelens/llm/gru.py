@@ -16,9 +16,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row at one place."""
+    x -= x.max(-1, keepdims=True)
+    out = x[np.arange(len(at)), at]
+    return out - np.log(np.exp(x, out=x).sum(-1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each row, in place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 @dataclass
@@ -69,14 +79,16 @@ class Net:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target after its state: class, then word in it."""
-        k = target // SIZE
-        out = _log_softmax(h @ self.group + self.group_bias)[np.arange(len(k)), k]
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        order = np.argsort((target // SIZE).astype(np.uint8), kind="stable")
+        h, k, w = h[order], target[order] // SIZE, target[order] % SIZE
+        got = _log_softmax_at(h @ self.group + self.group_bias, k)
+        ends = np.searchsorted(k, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.word[c] + self.word_bias[c])[np.arange(len(at)), target[at] % SIZE]
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                got[i:j] += _log_softmax_at(h[i:j] @ self.word[c] + self.word_bias[c], w[i:j])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def score(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,62 +124,70 @@ class Net:
     def learn(self, before: np.ndarray, target: np.ndarray, on: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Loss, gradients and last states over a window of (rows, steps); gradients stop at its beginning."""
         rows, steps = before.shape
-        x = self.embed[before]
-        flat = x.reshape(-1, EMBED) @ self.into + self.bias
-        xs = flat.reshape(rows, steps, -1)
-        trail, states = [], np.empty((rows, steps, STATE), np.float32)
+        whole = bool(on.all())
+        b, live = before.T.ravel(), on.T[:, :, None]
+        xs = (self.embed @ self.into + self.bias)[b].reshape(steps, rows, -1)
+        trail, states = [], np.empty((steps, rows, STATE), h.dtype)
         for t in range(steps):
-            new, z, r, n, un = self.step(xs[:, t], h)
-            new = np.where(on[:, t : t + 1], new, h)
+            new, z, r, n, un = self.step(xs[t], h)
+            if not whole:
+                new = np.where(live[t], new, h)
             trail.append((h, z, r, n, un))
-            states[:, t] = h = new
-        s, y = states[on], target[on]
-        m = max(1, len(y))
-        k = y // SIZE
-        lp = _log_softmax(s @ self.group + self.group_bias)
-        loss = -lp[np.arange(len(k)), k].sum()
-        d = np.exp(lp)
-        d[np.arange(len(k)), k] -= 1
-        d /= m
+            states[t] = h = new
+        y = target.T.ravel()
+        place = np.flatnonzero(on.T)
+        place = place[np.argsort((y[place] // SIZE).astype(np.uint8), kind="stable")]  # by class
+        s, y = states.reshape(-1, STATE)[place], y[place]
+        m, at = max(1, len(y)), np.arange(len(y))
+        k, w = y // SIZE, y % SIZE
+        ends = np.searchsorted(k, np.arange(CLASSES + 1))
         g = {f.name: np.zeros_like(getattr(self, f.name)) for f in fields(self)}
-        g["group"], g["group_bias"] = s.T @ d, d.sum(0)
+        d = _softmax(s @ self.group + self.group_bias)
+        loss = -np.log(d[at, k]).sum()
+        d[at, k] -= 1
+        g["group"], g["group_bias"] = s.T @ d / m, d.sum(0) / m
         ds = d @ self.group.T
-        for c in np.unique(k):
-            at = np.flatnonzero(k == c)
-            lp = _log_softmax(s[at] @ self.word[c] + self.word_bias[c])
-            w = y[at] % SIZE
-            loss -= lp[np.arange(len(at)), w].sum()
-            d = np.exp(lp)
-            d[np.arange(len(at)), w] -= 1
-            d /= m
-            g["word"][c], g["word_bias"][c] = s[at].T @ d, d.sum(0)
-            ds[at] += d @ self.word[c].T
+        for c in range(CLASSES):
+            i, j = ends[c], ends[c + 1]
+            if i == j:
+                continue
+            d = _softmax(s[i:j] @ self.word[c] + self.word_bias[c])
+            loss -= np.log(d[at[: j - i], w[i:j]]).sum()
+            d[at[: j - i], w[i:j]] -= 1
+            g["word"][c], g["word_bias"][c] = s[i:j].T @ d / m, d.sum(0) / m
+            ds[i:j] += d @ self.word[c].T
         dh_out = np.zeros_like(states)
-        dh_out[on] = ds
-        dh, dx = np.zeros((rows, STATE), np.float32), np.zeros_like(xs)
+        dh_out.reshape(-1, STATE)[place] = ds / m
+        dh, dx = np.zeros_like(h), np.empty_like(xs)
         for t in reversed(range(steps)):
             h0, z, r, n, un = trail[t]
-            dh = dh + dh_out[:, t]
-            live = on[:, t : t + 1]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1) * live
-            dx[:, t] = np.concatenate([dz, dr, dn], 1) * live
+            dh += dh_out[t]
+            left = dh * (1 - z)
+            np.multiply(left, 1 - n * n, out=dx[t, :, 2 * STATE :])
+            np.multiply(left, (h0 - n) * z, out=dx[t, :, :STATE])
+            np.multiply(dx[t, :, 2 * STATE :], un * (r - r * r), out=dx[t, :, STATE : 2 * STATE])
+            if not whole:
+                dx[t] *= live[t]
+            du = dx[t].copy()
+            du[:, 2 * STATE :] *= r
             g["again"] += h0.T @ du
-            dh = np.where(live, dh * z, dh) + du @ self.again.T
-        dxf = dx.reshape(-1, 3 * STATE)
-        g["into"], g["bias"] = x.reshape(-1, EMBED).T @ dxf, dxf.sum(0)
-        np.add.at(g["embed"], before.ravel(), dxf @ self.into.T)
+            dh = (dh * z if whole else np.where(live[t], dh * z, dh)) + du @ self.again.T
+        # one row for each word that stands before another
+        order = np.argsort(b.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.diff(b[order], prepend=-1))
+        words = b[order[first]]
+        sums = np.add.reduceat(dx.reshape(-1, 3 * STATE)[order], first, axis=0)
+        g["into"], g["bias"], g["embed"][words] = self.embed[words].T @ sums, sums.sum(0), sums @ self.into.T
         return float(loss), list(g.values()), h
 
 
 class Adam:
-    def __init__(self, net: Net, rate: float = 4e-3) -> None:
+    def __init__(self, net: Net, rate: float = 1e-2) -> None:
         self.net, self.rate, self.t = net, rate, 0
         self.m, self.v = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
 
-    def apply(self, grads: list[np.ndarray]) -> None:
+    def apply(self, grads: list[np.ndarray], share: float = 1.0) -> None:
+        """A step, shorter where fewer tokens speak for it."""
         self.t += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-12)))
@@ -175,14 +195,18 @@ class Adam:
             g = g * scale
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.01) * (g * g - v)
-            a -= np.float32(self.rate) * (m / np.float32(1 - 0.9**self.t)) / (np.sqrt(v / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
+            a -= np.float32(self.rate * share) * (m / np.float32(1 - 0.9**self.t)) / (np.sqrt(v / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
+
 
+def train(net: Net, ids: np.ndarray, offsets: np.ndarray, adam: Adam, rows: int = 256) -> int:
+    """One pass over the sequences, `rows` at a time side by side; states are carried from window to window.
 
-def train(net: Net, ids: np.ndarray, offsets: np.ndarray, adam: Adam, rows: int = 64) -> int:
-    """One pass over the sequences, `rows` at a time side by side; states are carried from window to window."""
+    Sequences of like length go together, these groups in mixed order; a window counts by its tokens.
+    """
     seen = 0
     order = np.argsort(np.diff(offsets), kind="stable")
-    for a in range(0, len(order), rows):
+    groups = np.arange(0, len(order), rows)
+    for a in np.random.default_rng(len(order)).permutation(groups):
         part = order[a : a + rows]
         start, n = offsets[part], offsets[part + 1] - offsets[part]
         h = np.zeros((len(part), STATE), np.float32)
@@ -194,6 +218,7 @@ def train(net: Net, ids: np.ndarray, offsets: np.ndarray, adam: Adam, rows: int
             place = np.where(on, start[:, None] + t[None], 0)
             before = np.where(t[None] > 0, ids[np.maximum(place - 1, 0)], WORDS)
             _, grads, h = net.learn(before, ids[place].astype(np.int64), on, h)
-            adam.apply(grads)
-            seen += int(on.sum())
+            tokens = int(on.sum())
+            adam.apply(grads, tokens / (min(rows, len(order)) * STEPS))
+            seen += tokens
     return seen

@@ -6,9 +6,9 @@ the corpus. The network predicts the WORDS - 1 most frequent tokens, in classes
 and one that stands for the rest; a token of the rest has its share of theirs by counts,
 (c + 0.1) / (rest + 0.1 * (kinds + 1)). That makes `score` a log10 probability of the whole text.
 
-The network learns in tasks, each on the training texts it reads, one in `every` by a hash of the text, so
-what is learnt from grows with the input; the tasks' weights are averaged (sums are made by parts of the
-weights, not on the driver), for `rounds` passes. Counts of the FREQUENT most frequent tokens at most are
+The network learns from all training texts, `rounds` times each. A pass has `every` turns, and each text is
+learnt from in one of them, by its doc_id. Tasks learn side by side, each from the texts it reads; after each
+turn their weights are averaged (sums are made by parts of the weights, not on the driver). Counts of the FREQUENT most frequent tokens at most are
 broadcast; all others are joined by token, after each text's own are summed up.
 
 Null and empty texts have just the end. Rows that repeat a doc_id are scored each for itself, and
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm import gru
-from lakelens.llm.shared import LOWER, SPACED, U64, keep, mix, pick, portions, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import LOWER, SPACED, U64, keep, pick, portions, utf8, word_bounds, word_hashes
 
 END = U64(0x0E4D0E4D0E4D0E4D)
 FREQUENT = 1 << 18
@@ -51,6 +51,11 @@ def held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
+def turns(ids: list[int | None], every: int) -> np.ndarray:
+    """The turn of a pass, 0 to `every` - 1, in which each text is learnt from; -1 if it is held out."""
+    return np.where(held_out(ids), -1, [zlib.crc32(str(i).encode()) // 10 % every for i in ids])
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c) over all training texts."""
 
@@ -135,7 +140,7 @@ def learn(docs: DataFrame, v, counts: np.ndarray, every: int, rounds: int) -> np
     """The averaged weights of the network."""
     spark = docs.sparkSession
     weights = gru.Net.new().with_counts(counts).flat()
-    for turn in range(rounds):
+    for turn in range(rounds * every):
         sent = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
@@ -144,8 +149,7 @@ def learn(docs: DataFrame, v, counts: np.ndarray, every: int, rounds: int) -> np
             for batch in batches:
                 for part in portions(batch, "text", SIDE):
                     h, at = tokens(part)
-                    use = ~held_out(part.column("doc_id").to_pylist())
-                    use &= mix(np.add.reduceat(h, at[:-1]) ^ U64(turn)) % U64(every) == 0
+                    use = turns(part.column("doc_id").to_pylist(), every) == turn % every
                     if use.any():
                         n = np.diff(at)
                         _, _, ids = v.value.find(h[np.repeat(use, n)])
@@ -172,7 +176,7 @@ def learn(docs: DataFrame, v, counts: np.ndarray, every: int, rounds: int) -> np
 _ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, others array<struct<token: long, n: long>>"
 
 
-def score_texts(docs: DataFrame, every: int = 16, rounds: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, every: int = 2, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     d = pick(docs, "doc_id", "text")
     d = d.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -72,5 +72,17 @@ def test_windows_carry_the_state():
         assert abs(got[k] - p) < 1e-2
 
 
+def test_every_training_text_is_learnt_from(spark):
+    ids = [*range(500), 7, 7, None]
+    for every in (1, 2, 5):
+        got = lm.turns(ids, every)
+        assert [t < 0 for t in got] == list(lm.held_out(ids)) and set(got) == {-1, *range(every)}
+    # a table of one training text: its order is learnt, not just the frequencies of its words
+    train = next(i for i in ids if not lm.held_out([i])[0])
+    text = " ".join(f"w{k % 11}" for k in range(20_000))
+    r = lm.score_texts(spark.createDataFrame([(train, text), (None, text)], "doc_id long, text string")).collect()
+    assert all(x.score > x.base_score + 500 for x in r)
+
+
 def test_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
