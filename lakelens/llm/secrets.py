@@ -3,9 +3,11 @@
 Every whole text is lexed into name-literal pairs (``name = "literal"``, ``name: literal``,
 ``export NAME=literal``, ``"name": "literal"``, ``{ident}`` chains). Constants are propagated:
 a name bound to another name, or to a concatenation of literals and names, takes their joined
-value, to a fixed point of at most ``HOPS`` steps. A literal is then scored by how sensitive the
-names it reaches are and by its own shape, and spans scoring at least ``LEAST`` are added to the
-base spans. Base spans are never removed.
+value (of a name bound more than once, the last before its use, else the first after it), and
+sensitivity goes on from name to name to its fixed point. A literal is then scored by how sensitive
+the names it reaches are and by its own shape, a joined value likewise (its shape is that of its
+first ``LONG`` characters, names without a value are empty). Spans scoring at least ``LEAST``, of a
+joined value those of all its literals, are added to the base spans. Base spans are never removed.
 
 Nulls and empty texts have no spans. Repeated rows give repeated results. Row order is not
 defined; spans of one text are ordered by start, then kind.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,17 +39,18 @@ _HEX_LONG = re.compile("[0-9a-f]{32,}")
 
 #: What stands left of an assignment sign, at most 80 characters, and right of it, within one line.
 _LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{1,63})["']?[ \t]{0,8}\Z""")
-_RIGHT = re.compile(
-    r"""[ \t]{0,8}(?P<value>"[^"\n]*"(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|[A-Za-z_][A-Za-z0-9_.]{0,63}))*|'[^'\n]*'(?:[ \t]*\+[ \t]*(?:'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]{0,63}))*|[^\s"',;(){}\[\]<>]+)"""
-)
+_LITERAL, _NAME = r"""(?:"[^"\n]*"|'[^'\n]*')""", "[A-Za-z_][A-Za-z0-9_.]{0,63}"
+_MORE = rf"[ \t]*\+[ \t]*(?:{_LITERAL}|{_NAME})"
+_RIGHT = re.compile(rf"""[ \t]{{0,8}}(?P<value>{_LITERAL}(?:{_MORE})*|{_NAME}[ \t](?:{_MORE})+|[^\s"',;(){{}}\[\]<>]+)""")
 _PART = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.]*)""")
+_JOINED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*[ \t]+\+")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _SIGN = re.compile(r":=|=>|={2,}|[:=]")
 
 #: How sensitive the parts of a target name are.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5, "credentials": 2.5, "private": 1.5, "auth": 1.5, "bearer": 2.5, "access": 1.0, "key": 1.5, "signing": 1.0, "client": 0.5, "api": 1.0, "pass": 2.0, "salt": 1.5, "webhook": 1.0}
-LEAST, HOPS = 4.0, 4
+LEAST, HOP, LONG = 4.0, 0.25, 4096
 _PLACEHOLDER = re.compile(r"(?i)(?:x{4,}|\*{3,}|\.{3}|<[^>]*>|\$\{?[A-Za-z_]|your[_-]|example|changeme|placeholder|none|null|true|false|undefined)")
 
 
@@ -94,30 +98,30 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
     direct: dict[str, list[tuple[int, int]]] = {}  # the literals that a name is bound to
     refs: dict[str, set[str]] = {}  # the names that a name takes its value from
+    bound: list[tuple[str, list[tuple[int, int, bool]]]] = []  # a name and the parts of its value: start, end, is it a name
+    places: dict[str, list[int]] = {}  # where in `bound` a name is
     for name, at, value in pairs(text):
-        if value[0] in "\"'":
-            for p in _PART.finditer(value):
-                if p[3] is None:
-                    g = 1 if p[1] is not None else 2
-                    direct.setdefault(name, []).append((at + p.start(g), at + p.end(g)))
-                else:
-                    refs.setdefault(name, set()).add(p[3])
-        elif _IDENT.match(value) and value != name:
-            refs.setdefault(name, set()).add(value)
-            direct.setdefault(name, []).append((at, at + len(value)))
+        if value[0] in "\"'" or not _IDENT.match(value) and _JOINED.match(value):
+            parts = [(at + p.start(g), at + p.end(g), g == 3) for p in _PART.finditer(value) for g in (p.lastindex,)]
         else:
-            direct.setdefault(name, []).append((at, at + len(value)))
+            parts = [(at, at + len(value), bool(_IDENT.match(value)) and value != name)]
+        for k, (a, b, is_name) in enumerate(parts):
+            if is_name:
+                refs.setdefault(name, set()).add(text[a:b])
+            if not is_name or k == 0:
+                direct.setdefault(name, []).append((a, b))
+        places.setdefault(name, []).append(len(bound))
+        bound.append((name, parts))
     if not direct:
         return []
     score = {n: _sensitivity(n) for n in {*direct, *refs}}
-    for _ in range(HOPS):  # a constant is as sensitive as the names that take it, a little less each hop
+    moved = True
+    while moved:  # a constant is as sensitive as the names that take it, a little less each hop: this ends
         moved = False
         for name, sources in refs.items():
             for s in sources:
-                if s in score and score[name] - 0.25 > score[s]:
-                    score[s], moved = score[name] - 0.25, True
-        if not moved:
-            break
+                if s in score and score[name] - HOP > score[s]:
+                    score[s], moved = score[name] - HOP, True
     names = {*direct, *refs}
     out = set()
     for name, spans in direct.items():
@@ -129,6 +133,56 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
                 continue
             if score[name] + _shape(value) >= LEAST:
                 out.add((a, 3, b))
+    if all(len(parts) == 1 for _, parts in bound):
+        return sorted(out)
+
+    def source(k: int, name: str) -> int | None:
+        """The binding that a name stands for in binding k."""
+        at = places.get(name)
+        if not at:
+            return None
+        i = bisect_left(at, k)
+        return at[i - 1] if i else next((x for x in at if x != k), None)
+
+    values: dict[int, tuple[str, int]] = {}  # of a binding: the joined value, how many hops its literals are away
+    opened: set[int] = set()
+    for first in range(len(bound)):
+        stack = [first]
+        while stack:
+            k = stack[-1]
+            own, parts = bound[k]
+            sources = [source(k, text[a:b]) if is_name else None for a, b, is_name in parts]
+            if k not in opened:
+                opened.add(k)
+                stack += {j for j in sources if j is not None and j not in opened}
+                continue
+            stack.pop()
+            if k in values:
+                continue
+            joined, hops = "", 0
+            for (a, b, is_name), j in zip(parts, sources, strict=True):
+                if not is_name:
+                    joined += text[a : min(b, a + LONG)]
+                elif j in values:  # in a circle it is not, and empty
+                    joined, hops = joined + values[j][0], max(hops, values[j][1] + (bound[j][0] != own))
+            values[k] = joined[:LONG], hops
+
+    emitted: set[int] = set()
+    for k, (name, parts) in enumerate(bound):
+        value, hops = values[k]
+        if len(parts) == 1 or score[name] < 1.5 or score[name] - HOP * hops + _shape(value) < LEAST:
+            continue
+        todo = [k]
+        while todo:
+            j = todo.pop()
+            if j in emitted:
+                continue
+            emitted.add(j)
+            for a, b, is_name in bound[j][1]:
+                if not is_name:
+                    out |= {(a, 3, b)} if a < b else set()
+                elif (i := source(j, text[a:b])) is not None:
+                    todo.append(i)
     return sorted(out)
 
 

@@ -30,6 +30,21 @@ def test_secrets(spark):
     assert "hunter2" not in clean[9] and "Zx81" not in clean[10] and clean[11] == "token: short"
 
 
+def test_secrets_joined_and_far():
+    hidden = {
+        'db_pwd = "Zx81k" + "Qp04L" + "m7Tt2"': ("Zx81k", "Qp04L", "m7Tt2"),
+        'password = "abcd" + "efgh1234XYZ"': ("abcd", "efgh1234XYZ"),
+        'a1 = "Zx81kQ"\nb1 = \'p04Lm7Tt2\'\ndb_pwd = a1 + b1': ("Zx81kQ", "p04Lm7Tt2"),
+        'v1 = "Zx81kQp04Lm7Tt2W"\nv2 = v1\nv3 = v2\nv4 = v3\nv5 = v4\npassword = v5': ("Zx81kQp04Lm7Tt2W",),
+    }
+    for text, parts in hidden.items():
+        spans = secrets.scan_text(text)[1]
+        assert {text[a:b] for a, _, b in spans} == set(parts)
+        assert not any(p in secrets.redact(text, spans) for p in parts)
+    for plain in ('title = "one" + "two" + "three"', "password = a1 + b1\na1 = password + b1", 'x1 = x1 + "a"\n' * 3000, "\n".join(f"x{k} = x{k + 1} + x{k + 1}" for k in range(3000)) + "\n"):
+        assert secrets.scan_text(plain)[1] == []
+
+
 def test_warc(spark):
     long = "p" * 120
     pages = [(1, "u", None), (2, None, ""), (3, "u", long), (3, "u", long), (5, "u", long), (6, "u", "s"), (7, "u", "s"), (None, "u", long), (8, "u", "é" * 300_000)]
