@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("best-fit packing", packing)]
 
-#: Trees, tokenizers and redaction are beyond SQL; tests hold the stages against brute force.
+#: Trees, tokenizers and redaction are beyond SQL; not all stages have tests of their own, see the README.
 ORACLE_SQL = None
 
 
