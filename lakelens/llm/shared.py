@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,20 @@ U64 = np.uint64
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by position of the first exact match, so extra or clashing columns never matter."""
     columns = df.columns
-    safe = df.toDF(*[f"c{i}" for i in range(len(columns))])
-    return safe.select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
+    return numbered(df).select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """All columns under names c0, c1, .., so that names that clash, in letter case or with ours, never matter."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none, as in tests."""
+    """The cluster's shared folder; a folder of our own only in a single-machine session that names none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakelens-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -35,19 +42,56 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str, codec: str = "lz4_raw") -> DataFrame:
+#: Shuffle files of a finished write go at once; they are never read again.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, codec: str = "lz4_raw") -> DataFrame:
     """Cuts lineage: written to the shared folder and reread, so lost executors cost no recomputation."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    spark._jvm.System.gc()  # shuffle files of what was written go with the plans that made them
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame, label: str, codec: str = "lz4_raw") -> DataFrame:
+    """A table that outlives the call: results that are read later."""
+    return write(df, scratch(df.sparkSession, label), codec)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """Tables and broadcasts of one run, all gone when it ends."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.dir, self.count, self.sent = spark, scratch(spark, label), 0, []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop_path(self.spark, self.dir)
+        for b in self.sent:
+            b.destroy()
+
+    def keep(self, df: DataFrame, label: str, codec: str = "lz4_raw") -> DataFrame:
+        self.count += 1
+        return write(df, f"{self.dir}/{label}-{self.count}", codec)
+
+    def send(self, value: object) -> Broadcast:
+        """For values of a bounded size only."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lakelens.llm.jaccard import join_similar, parities
+from lakelens.llm.jaccard import Sizes, join_similar, parities
 
 U64 = np.uint64
 
@@ -17,15 +17,18 @@ def unequal(a, b):
 def test_parities_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     for n in (1, 2, 63, 64, 65, 128, 129, 1000, 5000):
-        a = np.unique(rng.integers(0, 2**63, n).astype(U64))
+        a = np.unique(rng.integers(0, 2**48, n).astype(U64))
         for cut in (0, 1, n // 7, n // 2):
-            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut // 2).astype(U64)]))
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**48, cut // 2).astype(U64)]))
             if len(b):
                 assert unequal(a, b) <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize(("words", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 40, 100)])
-def test_all_links_against_brute_force(spark, words, num, den):
+TINY = Sizes(heavy=3, listed=200, shingles=256, postings=256, rows=64, links=8, rounds=2, few=0, slice=3)
+
+
+@pytest.mark.parametrize(("words", "num", "den", "sizes"), [(4, 85, 100, Sizes()), (5, 80, 100, TINY), (2, 40, 100, TINY), (1, 50, 100, TINY)])
+def test_all_links_against_brute_force(spark, words, num, den, sizes):
     rng = np.random.default_rng(words)
     texts = []
     for base in range(12):
@@ -52,5 +55,5 @@ def test_all_links_against_brute_force(spark, words, num, den):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_similar(df, words, num, den).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_similar(df, words, num, den, sizes).collect()}
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
