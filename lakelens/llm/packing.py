@@ -21,6 +21,7 @@ itself. An empty table gives no pieces. Texts are tokenized whole, however long.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -39,25 +40,30 @@ _LOADED: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to its ids as unsigned 32-bit integers, by the byte-level vocabulary at `path` (.json); the ids are those of `tokenizers`."""
+    """Text to its ids as unsigned 32-bit integers, by the byte-level vocabulary at `path` (.json); the ids are those of `tokenizers`, added tokens that stand in a text included."""
     if path not in _LOADED:
         _LOADED[path] = _encoder(path)
     return _LOADED[path]
 
 
 def _encoder(path: str) -> Callable[[str], bytes]:
+    with open(path) as f:
+        added = json.load(f).get("added_tokens", [])
     try:  # the same vocabulary as ranks is three times as fast
         import public_tokenizers
         import tiktoken
 
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise FileNotFoundError("added tokens that are not matched as they stand")
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        ids = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        special = {t["content"]: t["id"] for t in added}
+        ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        ids = lambda t: ranked.encode(t, allowed_special="all") if any(x in t for x in special) else ranked.encode_ordinary(t)
     except (ImportError, FileNotFoundError):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True  # their strings in a text are ordinary text
         ids = lambda t: whole.encode(t, add_special_tokens=False).ids
     return lambda text: array("I", ids(text)).tobytes()
 

@@ -13,13 +13,21 @@ from lakelens.llm import packing as P
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+WHOLE = Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return np.frombuffer(P.encoder(PATH)(text), "<u4").tolist()
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("abT é1.'s\n\t  \x1c\xa0　ñ!<|endoftext|>中"), max_size=60))
+@given(st.lists(st.one_of(st.text(alphabet=st.sampled_from("abT é1.'s\n\t  \x1c\xa0　ñ!<|endoftext|>中"), max_size=30), st.sampled_from(["<|endoftext|>", " <|endoftext|>", "<|endoftext", "<|endoftext|><|endoftext|>"])), max_size=4).map("".join))
 def test_ids_are_those_of_tokenizers(text):
-    whole = Tokenizer.from_file(PATH) if not hasattr(P, "_t") else P._t
-    P._t = whole
-    whole.encode_special_tokens = True
-    assert np.frombuffer(P.encoder(PATH)(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert ids_of(text) == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_added_token_in_a_text():
+    assert ids_of("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("n,size,want", [(3, 4, [(0, 3)]), (4, 4, [(0, 4)]), (5, 4, [(0, 1), (1, 4)]), (8, 4, [(0, 4), (4, 4)])])
