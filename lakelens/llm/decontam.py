@@ -31,13 +31,13 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import ALNUM, LOWER, U64, gram_hashes, keep, pick, portions, ranges, scratch, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import ALNUM, LOWER, U64, gram_hashes, keep, numbered, pick, portions, ranges, scratch, utf8, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS, PIECE = 1 << 20, 1 << 18
 
 
-def doc_words(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def doc_words(batch: pa.RecordBatch, column: str | int = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and each text's offsets in them."""
     data, offsets = utf8(batch.column(column))
     low = LOWER[data]
@@ -218,6 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows, with all their columns, of documents in which no window of the benchmark occurs."""
     blocks, column = build(benchmark, block_words), docs.columns.index("text")
+    safe = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,4 +226,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
                 hit, _ = judge(*doc_words(part, column), blocks())
                 yield part.filter(pa.array(hit == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)

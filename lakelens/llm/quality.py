@@ -2,7 +2,7 @@
 
 Statistics are counted in numpy over the bytes of many texts at a time. Labels are learnt from a
 sample of at most `most` labelled rows (those of smallest hash of doc_id, rows kept out never
-among them), so training has a fixed size; statistics and scores cover every row. Trees are grown level by
+among them, repeated rows one by one), so training has a fixed size; statistics and scores cover every row. Trees are grown level by
 level on binned values with logistic loss, then flattened into arrays of feature, threshold, child and
 value, and all rows walk all trees at once, one level at a time.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import LOWER, SPACED, gram_hashes, keep, pick, portions, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import LOWER, SPACED, gram_hashes, numbered, pick, portions, utf8, word_bounds, word_hashes
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "beyond": range(128, 256), "newline": [10], "space": [32, 9], "bang": b"!", "query": b"?", "stop": b".", "comma": b",", "quote": b"\"'`", "bracket": b"()[]{}<>", "sign": b"#$%&*+/=\\^_|~@", "colon": b":;", "dash": b"-"}
 _KIND = np.zeros(256, np.int64)
@@ -185,7 +185,7 @@ HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5, 0) = 0"
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row, as one array."""
+    """doc_id and the statistics of every row (columns doc_id, text), as one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,41 +194,46 @@ def measure(docs: DataFrame) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], names=["doc_id", "x"])
 
-    d = pick(docs, "doc_id", "text")
-    return d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
 
 
-def fit(measured: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
-    """Trees learnt from at most `most` labelled rows that are not held out."""
-    y = pick(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    rows = measured.filter(f"not ({HELD})").join(y, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most).select("x", "y").toArrow()
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
+    """Trees learnt from at most `most` labelled rows that are not held out; only their texts are measured."""
+    d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    y = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    y = y.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    # ids first, which are small; of a third of all rows under one id no more than `most` are taken either
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = d.select("doc_id").filter(f"not ({HELD})").join(y, "doc_id").orderBy(*order).limit(most).distinct()
+    rows = measure(d.join(F.broadcast(chosen.select("doc_id")), "doc_id"))  # at most `most` ids
+    rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(*order, "x").limit(most).select("x", "y").toArrow()
     x = np.asarray(rows.column("x").combine_chunks().flatten(), np.float32).reshape(len(rows), len(NAMES)) if len(rows) else np.empty((0, len(NAMES)), np.float32)
     return train(x, (np.asarray(rows.column("y"), float) >= 0.5).astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    measured = keep(measure(docs), "statistics")
-    trees = measured.sparkSession.sparkContext.broadcast(fit(measured, labels, most))  # of a fixed size
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))  # of a fixed size
+    d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column("x").flatten(), np.float32).reshape(-1, len(NAMES))
-            s = trees.value.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for part in portions(batch, "text"):
+                s = trees.value.score(statistics(part))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = measured.mapInArrow(run, "doc_id long, score double, predicted int")
+    out = d.mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.expr(HELD).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 20_000) -> DataFrame:
     """The rows, with all their columns, that score `least` or more."""
-    trees = docs.sparkSession.sparkContext.broadcast(fit(measure(docs), labels, most))
-    column = docs.columns.index("text")
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+    safe, column = numbered(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, column):
                 yield part.filter(pa.array(trees.value.score(statistics(part, column)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)

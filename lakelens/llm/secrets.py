@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakelens.llm.shared import pick
+from lakelens.llm.shared import numbered, pick
 
 KINDS = ("assign", "access", "hex", "named")
 #: Letters of the keyword in either case, ASCII only.
@@ -240,6 +240,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with every span in `text` replaced and `n_chars`, if there, brought up to date."""
     names, at = docs.columns, docs.columns.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
+    safe = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,4 +253,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 arrays[count] = pa.array([h if a == b or b is None else len(b) for h, a, b in zip(had, old, new, strict=True)], batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return safe.mapInArrow(run, safe.schema).toDF(*names)
