@@ -39,3 +39,20 @@ def reciprocal_rank(rank: Column, k: int = 60) -> Column:
 def gain(rank: Column) -> Column:
     """The discounted gain of a hit at a rank from 1."""
     return F.lit(1.0) / F.log2(rank + F.lit(1.0))
+
+
+def id_year(pid: Column) -> Column:
+    """The year that an id (YYMM.number) begins with; 90 and later are of the last century."""
+    yy = F.substring(pid, 1, 2).cast("int")
+    return F.when(yy >= 90, 1900 + yy).otherwise(2000 + yy)
+
+
+def paper_year(published: Column, pid: Column) -> Column:
+    """Of the ISO date, else of the id."""
+    return F.when(published != "", F.substring(published, 1, 4).cast("int")).otherwise(id_year(pid))
+
+
+def paper_day(published: Column, pid: Column) -> Column:
+    """YYYYMMDD of the ISO date, else the first day of the year."""
+    digits = F.regexp_replace(F.substring(published, 1, 10), "-", "").try_cast("int")
+    return F.when(F.length(published) >= 10, digits).otherwise(paper_year(published, pid) * 10000 + 101)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,47 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("session_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("tool"), F.col("value").alias("cost"), "ts", "props")
 
 
+ADJECTIVES = ["red", "small", "quick", "deep", "sparse"]
+NOUNS = ["attention", "graph", "model", "search", "index", "chain"]
+NAMES = ["Ada Lin", "Bo Chen", "Cy Dorn", "Di Ekman", "Ed Frost", "Fay Gold", "Gus Hale", "Hana Ito"]
+
+
+def _pick(words: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (at + 1).cast("int"))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as catalog entries with all their columns, some of them null or blank."""
+    o = load(spark, sf_dir, "orders")
+    key, who, month = F.col("o_orderkey"), F.col("o_custkey"), F.date_format("o_orderdate", "yyMM")
+    names = F.transform(F.sequence(F.lit(1), (who % 9 + 1).cast("int")), lambda i: _pick(NAMES, (key + i - 1) % 8))
+    authors = F.slice(names, 1, (who % 9).cast("int"))
+    return o.select(
+        key.alias("paper_id"),
+        F.concat(month, F.lit("."), F.format_string("%05d", key)).alias("pid"),
+        month.alias("month"),
+        F.concat(_pick(ADJECTIVES, who % 5), F.lit(" "), _pick(NOUNS, key % 6), F.lit(" study "), (who % 50).cast("string")).alias("title"),
+        F.when(who % 2 == 0, F.array_join(authors, ", ")).otherwise(F.array_join(authors, " and ")).alias("authors"),
+        F.when(who % 13 != 0, F.col("o_orderpriority")).alias("category"),
+        F.when(who % 11 == 0, F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("published"),
+        F.when(who % 3 == 1, F.lit("CC-BY-4.0")).when(who % 3 == 2, F.lit("other")).alias("license"),
+        F.when(who % 5 == 0, F.concat(F.lit("V"), (who % 7).cast("string"))).alias("venue"),
+        F.when(who % 4 != 0, F.concat(F.lit("v"), (who % 3 + 1).cast("string"))).alias("version"),
+        (F.col("o_orderstatus") != "P").alias("has_text"),
+        F.col("o_totalprice").alias("size"),
+    )
+
+
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog lists a month: nothing for Decembers, less than we hold for Junes, a fifth more for two months."""
+    n = papers(spark, sf_dir).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    mm = F.substring("month", 3, 2)
+    listed = F.when(mm == "06", F.col("n") - 1).when(mm.isin("02", "08"), F.col("n") + F.expr("n div 5 + 1")).otherwise(F.col("n") + F.expr("n div 20"))
+    return n.filter(mm != "12").select("month", listed.alias("cs_papers"))
+
+
 #: The same relations for the SQL side.
-VIEWS = """
+VIEWS = f"""
 WITH papers AS (SELECT o_orderkey AS paper_id, strftime(o_orderdate, '%y%m') AS month, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS category, o_orderstatus <> 'P' AS has_text, o_totalprice AS size, o_orderdate AS published FROM orders),
 citations AS (SELECT DISTINCT l_orderkey AS citing_id, l_partkey AS cited_id FROM lineitem),
 works AS (SELECT p_partkey AS work_id, p_name AS title, p_brand AS category, p_size AS year FROM part),
@@ -43,3 +82,25 @@ chunks AS (SELECT l_orderkey AS paper_id, l_linenumber AS seq, CAST(l_quantity A
 indexed AS (SELECT DISTINCT paper_id FROM chunks WHERE section = 'R'),
 runs AS (SELECT event_id AS run_id, user_id AS session_id, CAST(ts AS DATE) AS day, event_type AS tool, value AS cost, ts, props FROM events)
 """
+
+_NAMES = "[" + ", ".join(f"'{x}'" for x in NAMES) + "]"
+_ADJECTIVES = "[" + ", ".join(f"'{x}'" for x in ADJECTIVES) + "]"
+_NOUNS = "[" + ", ".join(f"'{x}'" for x in NOUNS) + "]"
+#: More relations, on top of VIEWS.
+CATALOG = f""", catalog AS (SELECT o_orderkey AS paper_id, strftime(o_orderdate, '%y%m') || '.' || printf('%05d', o_orderkey) AS pid, strftime(o_orderdate, '%y%m') AS month,
+  {_ADJECTIVES}[o_custkey % 5 + 1] || ' ' || {_NOUNS}[o_orderkey % 6 + 1] || ' study ' || (o_custkey % 50) AS title,
+  coalesce(CASE WHEN o_custkey % 2 = 0 THEN array_to_string(list_transform(range(o_custkey % 9), lambda i: {_NAMES}[(o_orderkey + i) % 8 + 1]), ', ') ELSE array_to_string(list_transform(range(o_custkey % 9), lambda i: {_NAMES}[(o_orderkey + i) % 8 + 1]), ' and ') END, '') AS authors,
+  CASE WHEN o_custkey % 13 <> 0 THEN o_orderpriority END AS category,
+  CASE WHEN o_custkey % 11 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published,
+  CASE o_custkey % 3 WHEN 1 THEN 'CC-BY-4.0' WHEN 2 THEN 'other' END AS license,
+  CASE WHEN o_custkey % 5 = 0 THEN 'V' || (o_custkey % 7) END AS venue,
+  CASE WHEN o_custkey % 4 <> 0 THEN 'v' || (o_custkey % 3 + 1) END AS version,
+  o_orderstatus <> 'P' AS has_text, o_totalprice AS size FROM orders),
+census AS (SELECT month, CASE WHEN month[3:4] = '06' THEN n - 1 WHEN month[3:4] IN ('02', '08') THEN n + n // 5 + 1 ELSE n + n // 20 END AS cs_papers
+  FROM (SELECT month, count(*) AS n FROM papers GROUP BY month) WHERE month[3:4] <> '12'),
+coverage AS (SELECT p.month, papers_held, papers_parsed, refs_made, CASE WHEN cs_papers >= papers_held THEN cs_papers END AS catalog_papers
+  FROM (SELECT month, count(*) AS papers_held, count(*) FILTER (has_text) AS papers_parsed FROM papers GROUP BY month) p
+  JOIN (SELECT month, count(cited_id) AS refs_made FROM papers LEFT JOIN citations ON citing_id = paper_id GROUP BY month) r USING (month) LEFT JOIN census USING (month)),
+complete AS (SELECT month FROM coverage WHERE papers_held::DOUBLE / catalog_papers >= 0.9),
+cohort AS (SELECT month FROM (SELECT month, count(DISTINCT citing_id) AS n, sum(count(DISTINCT citing_id)) OVER () AS total FROM citations JOIN papers ON citing_id = paper_id GROUP BY month) WHERE n >= 0.01 * total)
+"""

@@ -15,16 +15,26 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, views: bool = True) -> Callable[[Query], Query]:
+def register(name: str, sql: str | None = None, views: bool | str = True) -> Callable[[Query], Query]:
+    """views: the relations that the SQL starts from, those of the graph (True), the catalog's too ("catalog"), or none."""
+
     def put(f: Query) -> Query:
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = (M.VIEWS if views else "") + sql
+            _SQL[name] = {False: "", True: M.VIEWS, "catalog": M.VIEWS + M.CATALOG}[views] + sql
         return f
 
     return put
 
 
+def load_all() -> None:
+    """Imports the modules that register queries here."""
+    import importlib
+
+    for module in ("more", "catalog", "strings", "retrieval", "ordered", "documents"):
+        importlib.import_module(f"lakelens.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
