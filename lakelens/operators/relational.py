@@ -59,11 +59,18 @@ def newest_citers(citations: DataFrame, works: int, each: int) -> DataFrame:
 
 
 def rank_norm(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Ranks in 0..1 within groups, ties share their mean rank, a single row has 0.5."""
+    """Ranks in 0..1 within groups, ties share their mean rank, a single row has 0.5.
+
+    Rows are counted by value first and only the counts are ordered, so a large group of few values never comes together.
+    """
+    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_ties"))
     group = Window.partitionBy(*by)
-    rank = F.rank().over(group.orderBy(column))
-    ties, n = F.count(F.lit(1)).over(Window.partitionBy(*by, column)), F.count(F.lit(1)).over(group)
-    return df.withColumn("norm", F.when(n == 1, F.lit(0.5)).otherwise((2 * (rank - 1) + ties - 1) / 2 / (n - 1)))
+    before = F.coalesce(F.sum("_ties").over(group.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_n", F.sum("_ties").over(group))
+    norm = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise((2 * F.col("_before") + F.col("_ties") - 1) / 2 / (F.col("_n") - 1))
+    named = counts.select(*[F.col(c).alias(f"_{c}") for c in (*by, column)], norm.alias("norm"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, column)])
+    return df.join(named, same).drop(*[f"_{c}" for c in (*by, column)])
 
 
 def within_budget(df: DataFrame, by: list[str], order: list, size: str, budget: int) -> DataFrame:

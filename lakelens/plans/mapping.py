@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.operators.ordered import cached
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,9 +21,36 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("paper_id"), F.date_format("o_orderdate", "yyMM").alias("month"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("category"), (F.col("o_orderstatus") != "P").alias("has_text"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("published"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a folder of its own only on a single machine that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lakelens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def prepared(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once of a source and kept as long as the source's files stay as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(path)
+    state = ";".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    there = lambda p: (h := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)
+    return cached(f"{_folder(spark)}/lakelens-{name}", state, build, there)
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edges from papers to works."""
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing_id"), F.col("l_partkey").alias("cited_id")).distinct()
+    """Distinct edges from papers to works, a table that is made once and sorted by work."""
+
+    def edges() -> DataFrame:
+        rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing_id"), F.col("l_partkey").alias("cited_id"))
+        return rows.distinct().repartition("cited_id").sortWithinPartitions("cited_id", "citing_id")
+
+    return prepared(spark, sf_dir, "lineitem", "citations", edges)
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Streams: the run log."""
