@@ -61,7 +61,7 @@ def bootstrap(each: DataFrame, metric: str, draws: int = 4000, seed: int = 7) ->
             yield pa.RecordBatch.from_pydict({"config": pa.array([config] * draws, pa.string()), "draw": pa.array(range(draws), pa.int32()), "total": pa.array(total), "weight": pa.array(weight)})
 
     rows = each.select("config", F.col(metric).alias("v"), F.abs(F.xxhash64("question", F.lit(seed))).alias("h"))
-    drawn = rows.mapInArrow(run, "config string, draw int, total double, weight double").groupBy("config", "draw").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    drawn = rows.mapInArrow(run, "config string, draw int, total double, weight double").groupBy("config", "draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
     return drawn.groupBy("config").agg(F.expr("percentile(mean, 0.025)").alias("low"), F.avg("mean").alias("mean"), F.expr("percentile(mean, 0.975)").alias("high"))
 
 

@@ -163,3 +163,28 @@ def map_bytes(rows: list[tuple[int, int, int]]) -> tuple[bytes, str]:
     x, y, theme = zip(*rows, strict=True) if rows else ((), (), ())
     data = struct.pack(f"<{len(rows)}H{len(rows)}H{len(rows)}h", *x, *y, *theme)
     return data, hashlib.sha256(data).hexdigest()
+
+
+def theme_map(papers: DataFrame, vectors: DataFrame, neighbours: DataFrame, least: int, size: int, per_group: int = 6) -> dict[str, DataFrame]:
+    """points (id, x, y, theme) and themes (theme, n, name, x, y, category, group), themes numbered by falling size.
+
+    papers: id, text, category; vectors: id, embedding; neighbours as for density_clusters. Themes are few: their names,
+    centroids and groups are made on the driver.
+    """
+    spark = papers.sparkSession
+    labels = density_clusters(neighbours, least, size)
+    sizes = labels.filter(F.col("label") != NOISE).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    order = sizes.withColumn("theme", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
+    themed = labels.join(F.broadcast(order), "label", "left").select("id", F.coalesce("theme", F.lit(NOISE)).alias("theme"))
+    points = quantized(layout(vectors, "id").select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")), ["x", "y"]).join(themed, "id", "left")
+    points = points.withColumn("theme", F.coalesce("theme", F.lit(NOISE)))
+    inside = points.filter(F.col("theme") != NOISE)
+    places = inside.join(papers.select("id", "category"), "id").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x"), F.median("y").alias("y"), F.mode("category", deterministic=True).alias("category"))
+    words = class_words(papers.join(themed, "id").select("theme", "text"), "theme", "text").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    named = {r["label"]: theme_name([x["term"] for x in r["t"]], 3) for r in words.collect()}
+    dims = vectors.join(inside.select("id", "theme"), "id").select("theme", F.posexplode("embedding").alias("at", "v")).groupBy("theme", "at").agg(F.avg("v").alias("v"))
+    centroids = {r["theme"]: [x["v"] for x in r["c"]] for r in dims.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("c")).collect()}
+    known = sorted(centroids)
+    groups = ward_groups(np.array([centroids[t] for t in known]), max(1, round(len(known) / per_group))) if known else []
+    extra = spark.createDataFrame([(t, named.get(t, ""), int(g)) for t, g in zip(known, groups, strict=True)], "theme int, name string, `group` int")
+    return {"points": points, "themes": places.join(F.broadcast(extra), "theme")}

@@ -102,3 +102,24 @@ def redact(text: Column) -> Column:
     for kind, pattern in REDACTIONS.items():
         text = F.regexp_replace(text, pattern, f"[{kind}]")
     return text
+
+
+def transcript_index(conversations: DataFrame, stored: DataFrame, most: int = 1500) -> dict[str, DataFrame]:
+    """chunks of conversations without private text, the stored vectors that stay, and the chunks that need one.
+
+    conversations: conv_id, turn, role, text; stored: chunk_id, hash, of the vectors made before.
+    """
+    from lakelens.operators.evals import content_hash, vector_state
+    from lakelens.operators.ordered import greedy_groups, turns
+
+    rows = conversations.withColumn("text", redact(F.col("text")))
+    rows = turns(rows, "conv_id", [F.asc("turn")], F.col("role") == "user").filter("turn_no > 0")
+    whole = rows.groupBy("conv_id", F.col("turn_no").cast("long").alias("turn_no")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))  # the rows of one turn
+    whole = whole.select("conv_id", "turn_no", F.array_join(F.transform("l", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("text")).withColumn("size", F.length("text"))
+    placed = whole.join(greedy_groups(whole, "conv_id", "turn_no", "size", most), ["conv_id", "turn_no"])
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("group").cast("string"))
+    chunks = placed.groupBy("conv_id", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.min("turn_no").alias("pos_start"), F.max("turn_no").alias("pos_end"))
+    chunks = chunks.select(name.alias("chunk_id"), F.col("conv_id").alias("doc_id"), "text", "pos_start", "pos_end")  # bounded by `most`
+    kept = vector_state(stored, chunks, "chunk_id").filter("state = 'kept'").select("chunk_id")
+    todo = chunks.join(kept, "chunk_id", "left_anti").withColumn("hash", content_hash(F.col("text")))
+    return {"chunks": chunks, "kept": kept, "todo": todo}

@@ -212,3 +212,41 @@ def test_run_stream(spark, tmp_path):
     stream.append(source, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     assert {str(r.day): r.cents for r in stream.daily_spend(df.withColumnRenamed("ts", "ts")).collect()} == {"2026-07-01": 100, "2026-07-02": 25}
+
+
+def test_golden(spark):
+    from lakelens.operators import golden as N
+
+    assert N.fingerprint({"a": 1, "b": 2}) == N.fingerprint({"b": 2, "a": 1}) != N.fingerprint({"a": 2, "b": 2}) and len(N.fingerprint({})) == 12
+    with pytest.raises(KeyError):
+        N.Sources({"x": N.Source(lambda: None, "lang")}).get("y")
+    drafts = spark.createDataFrame([("q", "s1", 1, "old"), ("q", "s1", 2, "new"), ("r", "s2", 1, "other")], "id string, signature string, at int, v string")
+    assert [r.v for r in N.reusable(drafts, "s1").collect()] == ["new"]
+    rows = [("single_hop", "what keeps the rows from moving at all", ["**kept** here"], ["it is kept here"], ["shuffle"], None), ("single_hop", "does the shuffle matter to any of them", ["gone"], ["it is kept here"], ["shuffle"], None), ("exact_match", "what is GRPO", ["kept…here"], ["kept or here"], [], "grpo")]
+    got = [(r.span_verbatim, r.lexical_rule, r.question_length) for r in N.checked(spark.createDataFrame(rows, "type string, question string, spans array<string>, texts array<string>, rare_terms array<string>, anchor string")).collect()]
+    assert got == [(True, True, True), (False, False, True), (True, True, False)]
+    ranked = spark.createDataFrame([("q", "c", "t", "a#1", 1), ("q", "c", "t", "b#1", 2)], "question string, config string, type string, chunk string, rank int")
+    expected = spark.createDataFrame([("q", "b#1")], "question string, chunk string")
+    out = N.board(ranked, expected, 3, F.substring_index("chunk", "#", 1), 50)
+    assert out["board"].first().recall == 1.0 and out["ranks"].first().place == 2 and {r.grade for r in out["grades"].collect()} == {0, 2}
+    with pytest.raises(ValueError):
+        N.board(ranked, expected.union(spark.createDataFrame([("z", "x")], expected.schema)), 3, F.substring_index("chunk", "#", 1))
+
+
+def test_map_and_transcripts(spark):
+    ids = list(range(12))
+    papers = spark.createDataFrame([(i, ("graph model search " if i < 6 else "chain index red ") * 3, "a" if i % 3 else "b") for i in ids], "id int, text string, category string")
+    vectors = spark.createDataFrame([(i, [1.0 + i / 100, 0.0] if i < 6 else [0.0, 1.0 + i / 100]) for i in ids], "id int, embedding array<double>")
+    pairs = [(a, b, 1) for g in (range(5), range(6, 10)) for a in g for b in g if a != b] + [(5, 11, 1), (11, 0, 1), (10, 3, 1)]
+    out = H.theme_map(papers, vectors, spark.createDataFrame(pairs, "query_id int, vec_id int, rank int"), 2, 3)
+    themes = {r.theme: (r.n, r.name.split(" · ")[0], r.category) for r in out["themes"].collect()}
+    assert themes[0][0] == 5 and themes[1][0] == 4 and {themes[0][1], themes[1][1]} <= {"graph", "graph model", "model", "model search", "search", "search graph", "chain", "chain index", "index", "index red", "red", "red chain"}
+    assert {r.id for r in out["points"].filter("theme = -1").collect()} == {5, 10, 11}
+    talk = [(1, 0, "system", "s"), (1, 1, "user", "mail a@b.org"), (1, 2, "assistant", "yes " * 300), (1, 3, "user", "more"), (2, 0, "user", "hi")]
+    c = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    none = spark.createDataFrame([], "chunk_id string, hash string")
+    first = C.transcript_index(c, none, 200)
+    rows = {r.chunk_id: r.text for r in first["chunks"].collect()}
+    assert set(rows) == {"1#0", "1#1", "2#0"} and "[email]" in rows["1#0"] and first["todo"].count() == 3
+    again = C.transcript_index(c, first["todo"].select("chunk_id", "hash"), 200)
+    assert again["todo"].count() == 0 and again["kept"].count() == 3
