@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.components import TASK_LINKS, components
-from lakelens.llm.shared import LOWER, SPACED, U64, Workspace, gram_hashes, keep, mix, numbered, pick, portions, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import LOWER, SPACED, U64, Workspace, gram_hashes, keep, mix, numbered, pick, portions, tidy, utf8, word_bounds, word_hashes
 
 #: Bits of a shingle's hash.
 WIDTH = 48
@@ -54,8 +54,8 @@ class Sizes:
     heavy: int = 16
     listed: int = 1 << 21
     #: Shingles, postings, rows and links of one task.
-    shingles: int = 1 << 21
-    postings: int = 1 << 19
+    shingles: int = 1 << 20
+    postings: int = 1 << 18
     rows: int = 1 << 16
     links: int = TASK_LINKS
     #: Star rounds, which end early once this many pairs a posting are left to compare, and classes of a slice.
@@ -133,13 +133,13 @@ def write_sets(work: Workspace, docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", 1 << 20):
                 sets = list(shingle_sets(part, words))
                 cid = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
                 s = pa.array([packed(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array([len(x) for x in sets], pa.int64()), cid, s], names=["doc_id", "k", "n", "cid", "s"])
 
-    return work.keep(docs.mapInArrow(run, "doc_id long, k long, n long, cid long, s binary"), "sets", "none")
+    return work.keep(docs.mapInArrow(tidy(run), "doc_id long, k long, n long, cid long, s binary"), "sets", "none")
 
 
 def heavy_shingles(work: Workspace, sets: DataFrame, total: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +187,8 @@ def heavy_shingles(work: Workspace, sets: DataFrame, total: int, sizes: Sizes) -
         if held:
             yield summed(held)
 
-    parts = sets.filter("n > 0").select("s").mapInArrow(count, "slot int, token binary, n binary").repartitionById(1 << bits, F.col("slot")).sortWithinPartitions("slot")
-    heavy = work.keep(parts.mapInArrow(add, "token long, level int"), "heavy")
+    parts = sets.filter("n > 0").select("s").mapInArrow(tidy(count), "slot int, token binary, n binary").repartitionById(1 << bits, F.col("slot")).sortWithinPartitions("slot")
+    heavy = work.keep(parts.mapInArrow(tidy(add), "token long, level int"), "heavy")
     least, listed = 64, 0
     for level, n in sorted(heavy.groupBy("level").count().collect(), reverse=True):  # a row for each power of two
         if listed + n > sizes.listed:
@@ -227,7 +227,7 @@ def classify(work: Workspace, sets: DataFrame, docs: int, heavy: tuple[np.ndarra
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["cid", "gid", "n", "bits", "prefix", "light"])
 
-    found = sets.filter("n > 0").select("cid", "s").mapInArrow(run, "cid long, gid long, n long, bits array<long>, prefix array<long>, light int")
+    found = sets.filter("n > 0").select("cid", "s").mapInArrow(tidy(run), "cid long, gid long, n long, bits array<long>, prefix array<long>, light int")
     w = Window.partitionBy("gid").orderBy("cid")
     each = found.repartition(tasks_for(docs, sizes.rows), "gid").select("*", F.first("cid").over(w).alias("g"), F.lag("cid").over(w).alias("before"))
     each = each.filter("before is null or before <> cid")
@@ -292,8 +292,8 @@ def light_pairs(work: Workspace, classes: DataFrame, postings: int, num: int, de
         if held:
             yield from met(held)
 
-    parts = classes.filter("light > 0").select("g", "n", "prefix", "light").mapInArrow(deal, "slot int, cells binary")
-    pairs = parts.repartitionById(1 << bits, F.col("slot")).sortWithinPartitions("slot").mapInArrow(meet, "a long, b long")
+    parts = classes.filter("light > 0").select("g", "n", "prefix", "light").mapInArrow(tidy(deal), "slot int, cells binary")
+    pairs = parts.repartitionById(1 << bits, F.col("slot")).sortWithinPartitions("slot").mapInArrow(tidy(meet), "a long, b long")
     return work.keep(pairs.distinct(), "light")
 
 
@@ -319,7 +319,7 @@ def needed_sets(work: Workspace, sets: DataFrame, pairs: DataFrame) -> DataFrame
                 seen.add(cid[i])
             yield batch.filter(pa.array(on))
 
-    return sets.filter("n > 0").select("cid", "s").mapInArrow(asked, "cid long, s binary")
+    return sets.filter("n > 0").select("cid", "s").mapInArrow(tidy(asked), "cid long, s binary")
 
 
 def verify(work: Workspace, sets: DataFrame, pairs: DataFrame, rows: int, num: int, den: int, sizes: Sizes) -> DataFrame:
@@ -341,7 +341,7 @@ def verify(work: Workspace, sets: DataFrame, pairs: DataFrame, rows: int, num: i
     a, b = whole.toDF("a", "sa"), whole.toDF("b", "sb")
     # the second join takes pairs with one set each, dealt by the other
     met = pairs.repartition(tasks, "a").join(a.repartition(tasks, "a"), "a").repartition(tasks, "b").join(b.repartition(tasks, "b"), "b")
-    return work.keep(met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "similar")
+    return work.keep(met.select("a", "b", "sa", "sb").mapInArrow(tidy(compare), "a long, b long"), "similar")
 
 
 def _fits(num: int, den: int) -> str:

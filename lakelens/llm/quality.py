@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import LOWER, SPACED, gram_hashes, numbered, pick, portions, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import LOWER, SPACED, gram_hashes, numbered, pick, portions, tidy, utf8, word_bounds, word_hashes
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "beyond": range(128, 256), "newline": [10], "space": [32, 9], "bang": b"!", "query": b"?", "stop": b".", "comma": b",", "quote": b"\"'`", "bracket": b"()[]{}<>", "sign": b"#$%&*+/=\\^_|~@", "colon": b":;", "dash": b"-"}
 _KIND = np.zeros(256, np.int64)
@@ -189,12 +189,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", 1 << 20):
                 x = statistics(part)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, x array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
@@ -218,11 +218,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", 1 << 20):
                 s = trees.value.score(statistics(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = d.mapInArrow(run, "doc_id long, score double, predicted int")
+    out = d.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.expr(HELD).alias("held_out"), "score", "predicted")
 
 
@@ -233,7 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, column):
+            for part in portions(batch, column, 1 << 20):
                 yield part.filter(pa.array(trees.value.score(statistics(part, column)) >= least))
 
-    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)
+    return safe.mapInArrow(tidy(run), safe.schema).toDF(*docs.columns)
