@@ -37,11 +37,14 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]+")
 _HEX_LONG = re.compile("[0-9a-f]{32,}")
 
-#: What stands left of an assignment sign, at most 80 characters, and right of it, within one line.
-_LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{1,63})["']?[ \t]{0,8}\Z""")
-_LITERAL, _NAME = r"""(?:"[^"\n]*"|'[^'\n]*')""", "[A-Za-z_][A-Za-z0-9_.]{0,63}"
-_MORE = rf"[ \t]*\+[ \t]*(?:{_LITERAL}|{_NAME})"
-_RIGHT = re.compile(rf"""[ \t]{{0,8}}(?P<value>{_LITERAL}(?:{_MORE})*|{_NAME}[ \t](?:{_MORE})+|[^\s"',;(){{}}\[\]<>]+)""")
+#: What stands left of an assignment sign, within its line, and right of it: one value, or several joined by a plus or, in
+#: round brackets, one after another; both may go on over lines.
+_LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]{0,8}\Z""")
+_LITERAL, _NAME = r"""(?:"[^"\n]*"|'[^'\n]*')""", "[A-Za-z_][A-Za-z0-9_.]*+"
+_GAP = r"[ \t]*+(?:\\?\r?\n[ \t]*+)?"
+_MORE = rf"{_GAP}\+{_GAP}(?:{_LITERAL}|{_NAME})"
+_BRACKETS = rf"\([ \t\r\n]*+{_LITERAL}(?:(?:[ \t\r\n]*+\+)?[ \t\r\n]*+(?:{_LITERAL}|{_NAME}))*+[ \t\r\n]*+\)"
+_RIGHT = re.compile(rf"""[ \t]{{0,8}}(?P<value>{_LITERAL}(?:{_MORE})*|{_BRACKETS}|{_NAME}[ \t](?:{_MORE})+|[^\s"',;(){{}}\[\]<>]+)""")
 _PART = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_.]*)""")
 _JOINED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*[ \t]+\+")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
@@ -81,6 +84,18 @@ def _sensitivity(name: str) -> float:
     return min(3.5, sum(SENSITIVE.get(p, 0.0) for p in {*parts} | joined))
 
 
+def _target(text: str, p: int) -> re.Match | None:
+    """The name before an assignment sign at p, however long it is: what is looked at grows as long as a name may go on."""
+    width = 80
+    while True:
+        first = max(0, p - width)
+        line = text.rfind("\n", first, p) + 1
+        left = _LEFT.search(text, max(line, first), p) if line else _LEFT.search(text, first, p)
+        if line or not first or left is None or left.start() > first:
+            return left
+        width *= 4
+
+
 def pairs(text: str) -> Iterator[tuple[str, int, str]]:
     """(name, where the value starts, value) of every assignment, left to right."""
     at = 0
@@ -88,7 +103,7 @@ def pairs(text: str) -> Iterator[tuple[str, int, str]]:
         p, at = sign.start(), sign.end()
         if at - p > 1 and text[p:at].strip("=") == "":  # a comparison
             continue
-        left = _LEFT.search(text[max(text.rfind("\n", max(0, p - 80), p) + 1, p - 80, 0) : p])
+        left = _target(text, p)
         if left and (right := _RIGHT.match(text, at)):
             yield left[1], right.start("value"), right["value"]
             at = right.end()
@@ -101,7 +116,7 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     bound: list[tuple[str, list[tuple[int, int, bool]]]] = []  # a name and the parts of its value: start, end, is it a name
     places: dict[str, list[int]] = {}  # where in `bound` a name is
     for name, at, value in pairs(text):
-        if value[0] in "\"'" or not _IDENT.match(value) and _JOINED.match(value):
+        if value[0] in "\"'(" or not _IDENT.match(value) and _JOINED.match(value):
             parts = [(at + p.start(g), at + p.end(g), g == 3) for p in _PART.finditer(value) for g in (p.lastindex,)]
         else:
             parts = [(at, at + len(value), bool(_IDENT.match(value)) and value != name)]
