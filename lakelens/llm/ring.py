@@ -5,8 +5,8 @@ its key and belongs to the next point clockwise, so the ring is cut into ``shard
 No shard may hold more than its bound, ``ceil`` or ``floor`` of rows / shards: rows of an arc
 whose shard is full continue clockwise to the next point whose shard has room. Within an arc rows
 stand in ring order, those nearest to the point first, so which rows overflow is determined by
-hashes alone. Counts per shard therefore differ by one at most (law ``rows``), and adding a row or
-a shard moves few rows.
+hashes alone. Counts per shard therefore differ by one at most (law ``rows``). A further shard moves
+a part of the rows only (README), more than its own share since counts stay even.
 
 Only the counts of the arcs (a fixed number, whatever the input) reach the driver, where the
 clockwise walk runs over counts; rows find their place from their rank in the arc. Ranks come from
