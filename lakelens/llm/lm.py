@@ -148,12 +148,11 @@ def learn(docs: DataFrame, v, counts: np.ndarray, every: int, rounds: int) -> np
             adam, seen = gru.Adam(net), 0
             for batch in batches:
                 for part in portions(batch, "text", SIDE):
-                    h, at = tokens(part)
-                    use = turns(part.column("doc_id").to_pylist(), every) == turn % every
-                    if use.any():
-                        n = np.diff(at)
-                        _, _, ids = v.value.find(h[np.repeat(use, n)])
-                        seen += gru.train(net, ids, np.concatenate([[0], np.cumsum(n[use])]), adam)
+                    part = part.filter(pa.array(turns(part.column("doc_id").to_pylist(), every) == turn % every))
+                    if part.num_rows:
+                        h, at = tokens(part)
+                        _, _, ids = v.value.find(h)
+                        seen += gru.train(net, ids, at, adam)
             if seen:
                 parts = np.array_split(net.flat().astype(np.float64) * seen, PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "seen", "w"])
