@@ -118,12 +118,12 @@ def rerank(candidates: DataFrame, query: str, k: int, scorer: Scorer = overlap_s
 @dataclass
 class HybridIndex:
     """What a search needs: chunks (chunk_id, doc_id, section, pos_start, pos_end, text), documents (doc_id, title, day, version),
-    facets (doc_id, key, value), a token index by chunk_id, vectors (chunk_id, embedding), and an embedder of queries."""
+    facets (doc_id, key, value), a token index or an inverted one by chunk_id, vectors (chunk_id, embedding), and an embedder of queries."""
 
     chunks: DataFrame
     documents: DataFrame
     facets: DataFrame
-    tokens: DataFrame
+    tokens: DataFrame | L.Postings
     vectors: DataFrame
     embed: Callable[[str], Sequence[float]]
     tokenizer: str = "plain"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,21 +154,33 @@ def _count(phrase: list[str]) -> Column:
     return F.size(F.filter(starts, lambda i: F.slice("tokens", i, F.lit(len(phrase))) == whole))
 
 
-def bm25(index: DataFrame, key: str, phrases: list[list[str]], k: int | None, scope: DataFrame | None = None, every: bool = False) -> DataFrame:
+class Postings(Protocol):
+    """An index that gives the occurrences of phrases without a scan of all rows."""
+
+    def counts(self, phrases: list[list[str]]) -> tuple[DataFrame, DataFrame]: ...
+
+
+def _scanned(index: DataFrame, key: str, phrases: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """How often each phrase occurs in every row of a token index, and how many rows there are of what mean length."""
+    counted = index.select(key, F.col("n").cast("double").alias("n"), *[_count(p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    return counted, counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
+
+
+def bm25(index: DataFrame | Postings, key: str, phrases: list[list[str]], k: int | None, scope: DataFrame | None = None, every: bool = False) -> DataFrame:
     """key, score and rank of the k best rows (all with k None); ties go to the smaller key.
 
+    The index is a token index, which is scanned, or an inverted one, of which the phrases' buckets are read.
     N, document frequencies and the mean length are of the whole index: a scope (rows with `key`) narrows what is
     scored, never the statistics. A phrase in half of all rows or more still matches, at next to nothing. One that
     is asked twice counts twice. `every` keeps rows that hold all phrases.
     """
-    empty = index.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    if not phrases:
-        return empty
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     times = [phrases.count(p) for p in distinct]
     f = [f"f{i}" for i in range(len(distinct))]
-    counted = index.select(key, F.col("n").cast("double").alias("n"), *[_count(p).alias(c) for p, c in zip(distinct, f, strict=True)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in f])
+    counted, stats = _scanned(index, key, distinct) if isinstance(index, DataFrame) else index.counts(distinct)
+    if not phrases:
+        return counted.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    stats = F.broadcast(stats).join(F.broadcast(counted.agg(*[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in f])))  # one row each
     hit = [F.col(c) > 0 for c in f]
     test = hit[0]
     for h in hit[1:]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.operators import inverted
 from lakelens.operators.ordered import cached
 
 
@@ -33,14 +35,33 @@ def _folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _state(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """The source's files, their sizes and times: what was made of it holds as long as this stays."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return ";".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+
+
 def prepared(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table made once of a source and kept as long as the source's files stay as they are."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = fs.listStatus(path)
-    state = ";".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
-    there = lambda p: (h := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)
-    return cached(f"{_folder(spark)}/lakelens-{name}", state, build, there)
+    return cached(f"{_folder(spark)}/lakelens-{name}", _state(spark, sf_dir, source), build, lambda p: _there(spark, p))
+
+
+def indexed(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], key: str, kind: str, *texts: str) -> inverted.Index:
+    """An inverted index made once of a source, kept likewise."""
+    state = hashlib.sha256(_state(spark, sf_dir, source).encode()).hexdigest()[:16]
+    place = f"{_folder(spark)}/lakelens-{name}/{state}"
+    if _there(spark, f"{place}/stats/_SUCCESS"):
+        return inverted.Index(place, key, kind, "plain", BUCKETS)
+    return inverted.build(rows(), key, *texts, path=place, buckets=BUCKETS)
+
+
+BUCKETS = 16
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

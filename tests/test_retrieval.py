@@ -181,3 +181,58 @@ def test_tools(spark):
             r.call(name, args)
     with pytest.raises(BadCall):
         r.call("read_paper", {"paper_id": "2401.00002"}, scope=("2401.00001",))
+
+
+# ---------------------------------------------------------------- inverted index
+
+_WORDS = ["the", "a", "graph", "été", "net", "works", "x9", "İstanbul", "the-and"]
+
+
+def _made(n):
+    import random
+
+    rng = random.Random(n)
+    rows = [(i, " ".join(rng.choices(_WORDS, k=rng.randint(0, 40)))) for i in range(n)]
+    return rows + [(n, None), (n + 1, ""), (n + 2, "graph " * 5000), *[(n + 10 + i, "the graph the graph") for i in range(n // 2)]]
+
+
+@pytest.mark.parametrize(("tokenizer", "portion"), [("plain", 50), ("porter", 1 << 19)])
+def test_inverted_index_answers_as_a_scan_does(spark, tmp_path, monkeypatch, tokenizer, portion):
+    from lakelens.operators import inverted
+
+    monkeypatch.setattr(inverted, "PORTION", portion)
+    rows = spark.createDataFrame(_made(120), "id long, text string").repartition(5)
+    scan = L.token_index(rows, "id", "text", tokenizer=tokenizer)
+    index = inverted.build(rows, "id", "text", path=f"file://{tmp_path}/index", tokenizer=tokenizer, buckets=4, spread=2)
+    scope = rows.filter("id % 3 = 0")
+    asked = [("the-graph works", False, None), ("net net été graph-graph", False, scope), ("nothing here", False, None), ('"the graph the" net', True, scope)]
+    for query, every, within in asked:
+        phrases = (L.all_phrases if every else L.any_phrases)(query, tokenizer)
+        got, want = (sorted(tuple(r) for r in L.bm25(i, "id", phrases, 15, within, every).collect()) for i in (index, scan))
+        assert got == want, query
+    vocabulary = {(r.term, r.n_docs, r.n_times) for r in index.terms().collect()}
+    by_hand = {}
+    for r in scan.collect():
+        for t in set(r.tokens):
+            d, n = by_hand.get(t, (0, 0))
+            by_hand[t] = d + 1, n + r.tokens.count(t)
+    assert vocabulary == {(t, d, n) for t, (d, n) in by_hand.items()}
+
+
+def test_inverted_index_reads_only_the_buckets_it_is_asked_for(spark, tmp_path):
+    from lakelens.operators import inverted
+
+    rows = spark.createDataFrame(_made(60), "id long, text string")
+    index = inverted.build(rows, "id", "text", path=f"file://{tmp_path}/index", buckets=8)
+    plan = index.postings(["graph"])
+    assert {f.split("bucket=")[1].split("/")[0] for f in plan.select("_metadata.file_path").distinct().toPandas().file_path} == {str(inverted.bucket_of("graph", 8))}
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [bucket" in text or "bucket#" in text.split("PartitionFilters")[1].split("]")[0]
+    assert "term" in text.split("PushedFilters")[1].split("]")[0]
+
+
+def test_inverted_index_of_nothing(spark, tmp_path):
+    from lakelens.operators import inverted
+
+    index = inverted.build(spark.createDataFrame([], "id string, text string"), "id", "text", path=f"file://{tmp_path}/index")
+    assert L.bm25(index, "id", [["graph"]], 5).collect() == [] and index.terms().count() == 0
