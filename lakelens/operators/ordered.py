@@ -133,11 +133,11 @@ def rank_normalized(df: DataFrame, by: str, columns: dict[str, Column]) -> DataF
 
     Ranks come from counts of distinct values, so equal rows of a large group never travel one by one.
     """
-    out = df
-    for name, c in columns.items():
+    valued = df.withColumns({f"_{name}": c for name, c in columns.items()})
+    out = valued
+    for name in columns:
         value = f"_{name}"
-        out = out.withColumn(value, c)
-        ties = out.groupBy(by, value).agg(F.count(F.lit(1)).alias("_ties"))
+        ties = valued.groupBy(by, value).agg(F.count(F.lit(1)).alias("_ties"))
         w = Window.partitionBy(by)
         before = F.coalesce(F.sum("_ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranks = ties.withColumn("_before", before).withColumn("_n", F.sum("_ties").over(w))

@@ -168,7 +168,7 @@ def token_windows(s: SparkSession, d: str) -> DataFrame:
 
 def _citing(s: SparkSession, d: str) -> DataFrame:
     """Papers whose texts name the papers they cite, some bare, some marked, with numbers around that are no ids."""
-    c = M.catalog(s, d).filter("length(pid) <= 10")
+    c = M.catalog(s, d).withColumn("pid", M.short_id(F.col("paper_id")))
     cited = M.citations(s, d).join(c.select(F.col("paper_id").alias("cited_id"), F.col("pid").alias("cited")), "cited_id")
     named = F.when(F.col("cited_id") % 2 == 0, F.concat(F.lit("arXiv:"), "cited")).otherwise(F.concat(F.lit("see "), "cited", F.lit(".")))
     texts = cited.groupBy(F.col("citing_id").alias("paper_id")).agg(F.array_join(F.array_sort(F.collect_list(named)), " ").alias("refs"))
@@ -176,7 +176,7 @@ def _citing(s: SparkSession, d: str) -> DataFrame:
     return rows.select("pid", F.concat(F.lit("2013.12345 0.9505.12345 "), "pid", F.lit(" "), F.coalesce("refs", F.lit(""))).alias("text"))
 
 
-_EDGE_SQL = ", c AS (SELECT * FROM catalog WHERE length(pid) <= 10), newest AS (SELECT max(pid[1:4]) AS m FROM c), e AS (SELECT DISTINCT a.pid AS citing_id, b.pid AS cited_id FROM citations x JOIN c a ON a.paper_id = x.citing_id JOIN c b ON b.paper_id = x.cited_id, newest WHERE a.pid <> b.pid AND b.pid[1:4] BETWEEN '0704' AND m)"
+_EDGE_SQL = f", c AS (SELECT * REPLACE ({M.SHORT_ID} AS pid) FROM catalog), newest AS (SELECT max(pid[1:4]) AS m FROM c), e AS (SELECT DISTINCT a.pid AS citing_id, b.pid AS cited_id FROM citations x JOIN c a ON a.paper_id = x.citing_id JOIN c b ON b.paper_id = x.cited_id, newest WHERE a.pid <> b.pid AND b.pid[1:4] BETWEEN '0704' AND m)"
 
 
 @register("GRF01_citation_edges", f"{_EDGE_SQL} FROM e", "catalog")
@@ -208,9 +208,9 @@ def frontier_sample(s: SparkSession, d: str) -> DataFrame:
     return R.newest_of(M.citations(s, d), F.broadcast(top.select("cited_id")), 8).select("citing_id").distinct()
 
 
-@register("AGG17_snapshot_census", "SELECT month, count(*) AS cs_papers FROM catalog WHERE category[1:1] IN ('1', '2', '3') AND regexp_matches(pid, '^[0-9]{4}\\.[0-9]{4,5}$') GROUP BY 1", "catalog")
+@register("AGG17_snapshot_census", "SELECT month, count(*) AS cs_papers FROM catalog WHERE category[1:1] IN ('1', '2', '3') GROUP BY 1", "catalog")
 def snapshot_census(s: SparkSession, d: str) -> DataFrame:
-    rows = M.catalog(s, d).filter(F.substring("category", 1, 1).isin("1", "2", "3") & F.col("pid").rlike(r"^[0-9]{4}\.[0-9]{4,5}$"))
+    rows = M.catalog(s, d).filter(F.substring("category", 1, 1).isin("1", "2", "3") & M.short_id(F.col("paper_id")).rlike(r"^[0-9]{4}\.[0-9]{4,5}$"))
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("cs_papers"))
 
 

@@ -40,16 +40,17 @@ def _there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _state(spark: SparkSession, sf_dir: str, source: str) -> str:
-    """The source's files, their sizes and times: what was made of it holds as long as this stays."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+def _state(spark: SparkSession, sf_dir: str, *sources: str) -> str:
+    """The sources' files, their sizes and times: what was made of them holds as long as this stays."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{s}.parquet") for s in sources]
+    files = [f for path in paths for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
     return ";".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
 
 
-def prepared(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table made once of a source and kept as long as the source's files stay as they are."""
-    return cached(f"{_folder(spark)}/lakelens-{name}", _state(spark, sf_dir, source), build, lambda p: _there(spark, p))
+def prepared(spark: SparkSession, sf_dir: str, source: str | tuple[str, ...], name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once of its sources and kept as long as their files stay as they are."""
+    sources = (source,) if isinstance(source, str) else source
+    return cached(f"{_folder(spark)}/lakelens-{name}", _state(spark, sf_dir, *sources), build, lambda p: _there(spark, p))
 
 
 def indexed(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], key: str, kind: str, *texts: str) -> inverted.Index:
@@ -118,6 +119,19 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def short_id(key: Column) -> Column:
+    """A key as an id of four and five digits, as the citation patterns ask: another month for each number that five digits hold, so that no two keys share one.
+
+    Months begin with 0701; there are enough for 9,300,000 keys, after which years would need three digits.
+    """
+    year, month = F.floor(key / 100000).cast("long") + 7, key % 100000 % 12 + 1
+    return F.format_string("%02d%02d.%05d", year, month, key % 100000)
+
+
+#: The same in SQL, of paper_id.
+SHORT_ID = "printf('%02d%02d.%05d', paper_id // 100000 + 7, paper_id % 100000 % 12 + 1, paper_id % 100000)"
+
+
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the catalog lists a month: nothing for Decembers, less than we hold for Junes, a fifth more for two months."""
     n = papers(spark, sf_dir).groupBy("month").agg(F.count(F.lit(1)).alias("n"))

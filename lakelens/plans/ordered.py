@@ -149,7 +149,11 @@ def _old(s: SparkSession, d: str) -> DataFrame:
 
 
 def paper_facets(s: SparkSession, d: str) -> DataFrame:
-    """authority, niche, novelty of every paper."""
+    """authority, niche, novelty of every paper: a table made once for the papers and citations as they are."""
+    return M.prepared(s, d, ("orders", "lineitem"), "facets", lambda: _facets(s, d))
+
+
+def _facets(s: SparkSession, d: str) -> DataFrame:
     indeg = M.citations(s, d).groupBy(F.col("cited_id").alias("paper_id")).agg(F.count(F.lit(1)).alias("k"))
     old = _old(s, d)
     c = M.catalog(s, d)

@@ -219,10 +219,10 @@ def clients(s: SparkSession, d: str) -> DataFrame:
 _CITED = "'see ' || pid || 'v2 and 9901.00001, but 1.' || pid || ' stays'"
 
 
-@register("STR27_strip_unretrieved", f"SELECT pid, 'see ' || CASE WHEN paper_id % 2 = 0 THEN pid || 'v2' ELSE '[citation removed: not retrieved this turn]' END || ' and [citation removed: not retrieved this turn], but 1.' || pid || ' stays' AS answer FROM catalog WHERE length(pid) <= 10", "catalog")
+@register("STR27_strip_unretrieved", f"SELECT pid, 'see ' || CASE WHEN paper_id % 2 = 0 THEN pid || 'v2' ELSE '[citation removed: not retrieved this turn]' END || ' and [citation removed: not retrieved this turn], but 1.' || pid || ' stays' AS answer FROM (SELECT * REPLACE ({M.SHORT_ID} AS pid) FROM catalog)", "catalog")
 def stripped(s: SparkSession, d: str) -> DataFrame:
     allowed = F.when(F.col("paper_id") % 2 == 0, F.array("pid")).otherwise(F.array().cast("array<string>"))
-    return M.catalog(s, d).filter("length(pid) <= 10").select("pid", T.strip_unretrieved(F.expr(_CITED), allowed).alias("answer"))
+    return M.catalog(s, d).withColumn("pid", M.short_id(F.col("paper_id"))).select("pid", T.strip_unretrieved(F.expr(_CITED), allowed).alias("answer"))
 
 
 @register(
