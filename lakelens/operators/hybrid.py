@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.operators import lexical as L
+from lakelens.operators.ann import Ann
 
 
 @dataclass(frozen=True)
@@ -118,13 +119,13 @@ def rerank(candidates: DataFrame, query: str, k: int, scorer: Scorer = overlap_s
 @dataclass
 class HybridIndex:
     """What a search needs: chunks (chunk_id, doc_id, section, pos_start, pos_end, text), documents (doc_id, title, day, version),
-    facets (doc_id, key, value), a token index or an inverted one by chunk_id, vectors (chunk_id, embedding), and an embedder of queries."""
+    facets (doc_id, key, value), a token index or an inverted one by chunk_id, vectors (chunk_id, embedding) or an index of approximate neighbours of them, and an embedder of queries."""
 
     chunks: DataFrame
     documents: DataFrame
     facets: DataFrame
     tokens: DataFrame | L.Postings
-    vectors: DataFrame
+    vectors: DataFrame | Ann
     embed: Callable[[str], Sequence[float]]
     tokenizer: str = "plain"
     unavailable: tuple[type[Exception], ...] = field(default=(OSError, TimeoutError))
@@ -142,7 +143,8 @@ def search(index: HybridIndex, query: str, k: int = 10, filters: Filters = Filte
     depth = max(pool, k) if scorer else k
     legs = {}
     try:
-        legs["vector"] = knn(index.vectors, "chunk_id", index.embed(query), depth, scope)
+        asked = index.embed(query)
+        legs["vector"] = index.vectors.nearest(asked, depth, scope) if isinstance(index.vectors, Ann) else knn(index.vectors, "chunk_id", asked, depth, scope)
     except index.unavailable:
         pass
     legs["bm25"] = L.bm25(index.tokens, "chunk_id", L.any_phrases(query, index.tokenizer), depth, scope)

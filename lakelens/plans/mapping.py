@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.operators import inverted
+from lakelens.operators import ann, inverted
 from lakelens.operators.ordered import cached
 
 
@@ -65,6 +65,14 @@ def indexed(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Call
 BUCKETS = 16
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> ann.Ann:
+    """The index of approximate neighbours of all vectors, made once."""
+    place = f"{_folder(spark)}/lakelens-neighbours/{hashlib.sha256(_state(spark, sf_dir, 'embeddings').encode()).hexdigest()[:16]}"
+    if _there(spark, f"{place}/head/_SUCCESS"):
+        return ann.load(place)
+    return ann.build(load(spark, sf_dir, "embeddings"), "vec_id", place)
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct edges from papers to works, a table that is made once and sorted by work."""
 

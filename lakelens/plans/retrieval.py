@@ -61,7 +61,7 @@ def _titles(s: SparkSession, d: str) -> inverted.Index:
 
 
 #: Built before any search, as in production: by name, for the bench to time.
-INDEXES = {"chunks": _index, "documents": _documents, "titles": _titles}
+INDEXES = {"chunks": _index, "documents": _documents, "titles": _titles, "neighbours": M.neighbours}
 
 
 @register("RET05_tokens", rf"WITH {CHUNKED} SELECT doc_id, count(*) AS n_chunks, CAST(sum(len(t)) AS BIGINT) AS n_tokens FROM tok GROUP BY 1", views=False)
@@ -151,6 +151,19 @@ def knn_all(s: SparkSession, d: str) -> DataFrame:
     return E.knn_batch(e.filter("vec_id % 50 = 0"), e, 10)
 
 
+@register("RET06_ann_neighbours")
+def ann_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector asks the index of approximate neighbours; tests measure its recall against the exact search."""
+    asked = M.load(s, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return M.neighbours(s, d).search(asked, 10)
+
+
+@register("SNK03_indexed_vectors", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width FROM embeddings WHERE list_dot_product(embedding, embedding) > 0", views=False)
+def indexed_vectors(s: SparkSession, d: str) -> DataFrame:
+    """What the lists of the index hold: every vector that has a direction, once."""
+    return M.neighbours(s, d).lists().select("vec_id", F.size("x").alias("width"))
+
+
 _DOCTOK = r"dt AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)"
 
 
