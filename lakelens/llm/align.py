@@ -82,34 +82,35 @@ class Transducer:
         self.known += 1
         return to
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups and links, or None if the bytes differ."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]] | None:
+        """Groups (ranges of both sides) and links (a * SECOND + b), or None if the bytes differ."""
         if self.known > self.most:
             self.clear()
         moves, steps = self.moves, self.steps
-        tokens, at, last = (a, b), [0, 0], [0, 0]
-        groups: list[tuple[list[int], list[int]]] = []
-        links: list[tuple[int, int]] = []
-        state = 0
-        group: tuple[list[int], list[int]] = ([], [])
-        while True:
-            side = moves[state]
-            k = at[side]
-            if k == len(tokens[side]):
-                return (groups, links) if state == 0 and at[1] == len(b) else None
-            token = tokens[side][k]
-            at[side] = k + 1
-            last[side] = token
-            group[side].append(token)
-            if state:
-                links.append((last[0], last[1]))
+        n_a, n_b, i, j, from_a, from_b, state = len(a), len(b), 0, 0, 0, 0, 0
+        groups: list[tuple[int, int, int, int]] = []
+        links: list[int] = []
+        while state or i < n_a or j < n_b:
+            if moves[state]:
+                if j == n_b:
+                    return None
+                token = b[j]
+                j += 1
+            else:
+                if i == n_a:
+                    return None
+                token = a[i]
+                i += 1
+            if state:  # the mover meets the token that left the residual
+                links.append(a[i - 1] * SECOND + b[j - 1])
             to = steps[state].get(token)
             state = self._step(state, token) if to is None else to
-            if state < 0:
-                return None
-            if state == 0:
-                groups.append(group)
-                group = ([], [])
+            if state <= 0:
+                if state < 0:
+                    return None
+                groups.append((from_a, i, from_b, j))
+                from_a, from_b = i, j
+        return groups, links
 
 
 def _first_side(path: str) -> tuple[Callable[[str], list[int]], Callable[[int], bytes]]:
@@ -132,8 +133,8 @@ def _first_side(path: str) -> tuple[Callable[[str], list[int]], Callable[[int],
         return lambda t: whole.encode(t, add_special_tokens=False).ids, lambda i: bytes(byte[c] for c in whole.id_to_token(i))
 
 
-def _second_side(path: str) -> tuple[Callable[[str], list[int]], Callable[[int], bytes]]:
-    """Ids of a text and bytes of an id, by a sentence-piece model; the leading space is the model's."""
+def _second_side(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[int], bytes]]:
+    """Ids of texts and bytes of an id, by a sentence-piece model; the leading space is the model's."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -144,7 +145,7 @@ def _second_side(path: str) -> tuple[Callable[[str], list[int]], Callable[[int],
         text = model.id_to_piece(i)
         return bytes([int(text[3:5], 16)]) if model.is_byte(i) else text.replace("▁", " ").encode()
 
-    return lambda t: model.encode(t, num_threads=1), piece
+    return lambda texts: model.encode(texts, num_threads=1), piece
 
 
 def _remembered(f: Callable[[int], bytes]) -> Callable[[int], bytes]:
@@ -171,12 +172,16 @@ def cells(text: str) -> list[str]:
 
 
 class Aligner:
-    """Aligned cells by number: how many ids and groups, linked pairs and groups as text; `bad` for cells that differ."""
+    """Aligned cells by number: how many ids and groups, linked pairs and groups as text; `bad` for cells that differ.
 
-    def __init__(self, first: str, second: str, most: int = 200_000, longest: int = 64) -> None:
+    They are forgotten, between documents, once there are more than `most` of them or than `longest` characters in all.
+    The first side is of bytes and gives back every one, so that bytes which differ are the second's.
+    """
+
+    def __init__(self, first: str, second: str, most: int = 400_000, longest: int = 1 << 23) -> None:
         (self.a, a_bytes), (self.b, b_bytes) = _first_side(first), _second_side(second)
-        self.a_bytes, self.most, self.longest = _remembered(a_bytes), most, longest
-        self.transducer = Transducer(self.a_bytes, _remembered(b_bytes))
+        self.most, self.longest = most, longest
+        self.transducer = Transducer(_remembered(a_bytes), _remembered(b_bytes))
         self.clear()
 
     def clear(self) -> None:
@@ -185,45 +190,43 @@ class Aligner:
         self.pairs: list[bytes] = []
         self.text: list[str] = []
         self.bad: set[int] = set()
-
-    def _add(self, cell: str) -> int:
-        whole = " " + cell
-        a, b = self.a(whole), self.b(cell)
-        got = self.transducer.align(a, b) if b"".join(map(self.a_bytes, a)) == whole.encode() else None
-        groups, links = got or ([], [])
-        k = len(self.text)
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.n_groups.append(len(groups))
-        self.pairs.append(array("I", [x * SECOND + y for x, y in links]).tobytes())
-        self.text.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
-        if got is None:
-            self.bad.add(k)
-        return k
+        self.size = 0
+
+    def _add(self, fresh: list[str]) -> None:
+        """Aligns cells that are not known, and numbers them."""
+        for cell, b in zip(fresh, self.b(fresh), strict=True):
+            a = self.a(" " + cell)
+            got = self.transducer.align(a, b)
+            groups, links = got or ((), ())
+            if got is None:
+                self.bad.add(len(self.text))
+            self.number[cell] = len(self.text)
+            self.n_a.append(len(a))
+            self.n_b.append(len(b))
+            self.n_groups.append(len(groups))
+            self.pairs.append(array("I", links).tobytes())
+            self.text.append(";".join([f"{a[p]}|{b[r]}" if q - p == t - r == 1 else f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:t]))}" for p, q, r, t in groups]))
 
     def document(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and how often each is linked."""
         nothing = (0, 0, 0, 0, "", np.empty(0, np.uint32), np.empty(0, np.int64))
         if not text or "▁" in text:
             return nothing
-        if len(self.text) > self.most:
+        if len(self.text) > self.most or self.size > self.longest:
             self.clear()
-        number = self.number
-        at = []
-        for c in cells(text):
-            k = number.get(c)
-            if k is None:
-                k = self._add(c)
-                if len(c) <= self.longest:
-                    number[c] = k
-            at.append(k)
-        pairs, texts = self.pairs, self.text
+        parts = cells(text)
+        at = list(map(self.number.get, parts))
+        if None in at:
+            fresh = list(dict.fromkeys([c for c, k in zip(parts, at, strict=True) if k is None]))
+            self.size += sum(map(len, fresh))
+            self._add(fresh)
+            at = list(map(self.number.__getitem__, parts))
         if self.bad and not self.bad.isdisjoint(at):
             return nothing
         many = np.array(at)
         sums = [int(np.frombuffer(x, np.int64)[many].sum()) for x in (self.n_a, self.n_b, self.n_groups)]
-        links = np.frombuffer(b"".join([pairs[k] for k in at]), np.uint32)
-        digest = hashlib.sha256(";".join([texts[k] for k in at]).encode()).hexdigest()
+        links = np.frombuffer(b"".join(map(self.pairs.__getitem__, at)), np.uint32)
+        digest = hashlib.sha256(";".join(map(self.text.__getitem__, at)).encode()).hexdigest()
         return (*sums, len(links), digest, *np.unique(links, return_counts=True))
 
 

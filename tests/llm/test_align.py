@@ -93,5 +93,5 @@ def test_fallback_vocabulary_gives_the_same_ids(tmp_path):
 def test_transducer_rejects_other_bytes():
     words = [b"ab", b"c", b"a", b"bc", b"x", b"abc"]
     t = align.Transducer(words.__getitem__, words.__getitem__)
-    assert t.align([0, 1], [2, 3]) == ([([0, 1], [2, 3])], [(0, 2), (0, 3), (1, 3)])
+    assert t.align([0, 1], [2, 3]) == ([(0, 2, 0, 2)], [2, 3, align.SECOND + 3])
     assert t.align([0, 1], [2, 4]) is None and t.align([0], [0, 4]) is None and t.align([0, 1], [0]) is None and t.align([], []) == ([], [])
