@@ -1,8 +1,7 @@
 """Themes of a corpus: layouts, clusters, class words, groups of themes, and the map's export.
 
-Two steps stand in for library methods that have no counterpart here: `layout` is a linear projection on principal axes in
-place of a neighbour embedding, `density_clusters` joins mutual near neighbours of dense points in place of a hierarchy of
-densities. Both keep the shape of the result (coordinates; labels with -1 for noise), not its values.
+Clusters are those of `density`. `layout` is a linear projection on principal axes in place of a neighbour embedding: it
+keeps the shape of the result (coordinates), not its values.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakelens.operators.density import Keep, clusters
 from lakelens.operators.relational import once
 
 NOISE = -1
@@ -64,52 +64,35 @@ def layout_name(ids: list, params: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def density_clusters(neighbours: DataFrame, least: int, size: int) -> DataFrame:
-    """(id, label): components of mutual near neighbours among points with `least` of them or more; small components are noise.
-
-    neighbours: query_id, vec_id, rank (each point's nearest others).
-    """
-    mutual = neighbours.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b")).filter("a <> b")
-    mutual = mutual.join(mutual.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-    dense = mutual.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select("a")
-    edges = mutual.join(dense, "a", "left_semi").join(dense.toDF("b"), "b", "left_semi")
-    label = dense.select(F.col("a").alias("id"), F.col("a").alias("label"))
-    while True:  # smallest label among neighbours, until nothing changes
-        got = edges.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        new = label.join(got, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
-        if new.join(label.withColumnRenamed("label", "was"), "id").filter("label <> was").isEmpty():
-            break
-        label = new
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= size).select("label")
-    points = neighbours.select(F.col("query_id").alias("id")).distinct()
-    return points.join(label.join(sizes, "label", "left_semi"), "id", "left").select("id", F.coalesce("label", F.lit(NOISE)).alias("label"))
-
-
-def terms(text: Column) -> Column:
+def terms(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Words of two letters or more that are no stop words, and pairs of neighbours among them."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})")), lambda w: ~w.isin(STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})")), lambda w: ~w.isin(stop))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def class_words(docs: DataFrame, label: str, text: str, k: int = 8, most_df: int = 20, features: int = 40_000) -> DataFrame:
+def class_words(docs: DataFrame, label: str, text: str, k: int = 8, most_df: int = 20, features: int = 40_000, stop: list[str] = STOP_WORDS, keep: Keep = lambda df, name: df) -> DataFrame:
     """label, term, score, place: the k terms of each class by tf * ln(1 + mean class total / (term total + 1)); noise has none.
 
-    Terms are of min(most_df, rows / 50) rows or more; of these the `features` most frequent count.
+    Terms are of min(most_df, rows / 50) rows or more; of these the `features` most frequent count. Texts are cut once,
+    into counts of terms by class, which `keep` may write; all else comes from these. `stop` are words that name no theme.
     """
-    rows = once(docs, "_t", terms(F.col(text)))
+    rows = once(docs, "_t", terms(F.col(text), stop))
+    # a term's occurrences, and once for each row that holds it
+    both = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("df"))), F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("df"))))
+    counts = rows.select(F.col(label).alias("label"), F.explode(both).alias("x")).groupBy("label", "x.term").agg(F.sum("x.c").alias("c"), F.sum("x.df").alias("df"))
     least = F.greatest(F.lit(1), F.least(F.lit(most_df), F.floor(F.col("n_rows") / 50)))
-    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    df = rows.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).filter(F.col("df") >= least).select("term")
-    counts = rows.select(F.col(label).alias("label"), F.explode("_t").alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("c")).join(df, "term", "left_semi")
-    used = counts.groupBy("term").agg(F.sum("c").alias("total")).orderBy(F.desc("total"), "term").limit(features).select("term")
-    counts = counts.join(used, "term", "left_semi").filter(F.col("label").cast("string") != str(NOISE))
+    own = F.col("label").cast("string") != str(NOISE)
+    one = Window.partitionBy("term")  # a row a class at most
+    counts = counts.withColumn("of_rows", F.sum("df").over(one)).withColumn("total", F.sum("c").over(one)).withColumn("of_term", F.sum(F.when(own, F.col("c"))).over(one))
+    counts = keep(counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_rows")))).filter(F.col("of_rows") >= least).drop("n_rows"), "counts")
+    used = counts.select("term", "total").distinct().orderBy(F.desc("total"), "term").limit(features).select("term")
+    counts = keep(counts.join(used, "term", "left_semi").filter(own), "used")
     totals = counts.groupBy("label").agg(F.sum("c").alias("of_label"))
-    mean = totals.agg(F.avg("of_label").alias("mean"))
-    of_term = counts.groupBy("term").agg(F.sum("c").alias("of_term"))
-    scored = counts.join(F.broadcast(totals), "label").join(of_term, "term").join(F.broadcast(mean))  # a row a class, and one row
+    totals = totals.join(F.broadcast(totals.agg(F.avg("of_label").alias("mean"))))
+    scored = counts.join(totals, "label")
     score = F.round(F.col("c") / F.col("of_label") * F.log(1 + F.col("mean") / (F.col("of_term") + 1)), 9)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "term"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "term"))  # `features` rows a class at most
     return scored.withColumn("score", score).withColumn("place", place).filter(F.col("place") <= k).select("label", "term", "score", "place")
 
 
@@ -165,22 +148,28 @@ def map_bytes(rows: list[tuple[int, int, int]]) -> tuple[bytes, str]:
     return data, hashlib.sha256(data).hexdigest()
 
 
-def theme_map(papers: DataFrame, vectors: DataFrame, neighbours: DataFrame, least: int, size: int, per_group: int = 6) -> dict[str, DataFrame]:
+#: Themes are named and grouped on the driver; more of them than this are none that a map could show.
+MOST_THEMES = 1 << 12
+
+
+def theme_map(papers: DataFrame, vectors: DataFrame, size: int, samples: int, keep: Keep, dims: int = 10, per_group: int = 6, stop: list[str] = STOP_WORDS) -> dict[str, DataFrame]:
     """points (id, x, y, theme) and themes (theme, n, name, x, y, category, group), themes numbered by falling size.
 
-    papers: id, text, category; vectors: id, embedding; neighbours as for density_clusters. Themes are few: their names,
-    centroids and groups are made on the driver.
+    papers: id, text, category; vectors: id, embedding. Clusters are those of a layout of `dims` dimensions. Names,
+    centroids and groups of themes are made on the driver, of MOST_THEMES at most; with more, `size` is to be raised.
     """
     spark = papers.sparkSession
-    labels = density_clusters(neighbours, least, size)
-    sizes = labels.filter(F.col("label") != NOISE).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    labels = keep(clusters(layout(vectors, "id", dims).select("id", F.col("z").alias("x")), size, samples, keep), "labels")
+    sizes = keep(labels.filter(F.col("label") != NOISE).groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if sizes.count() > MOST_THEMES:
+        raise ValueError(f"more than {MOST_THEMES} themes: raise the least size of a cluster")
     order = sizes.withColumn("theme", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
     themed = labels.join(F.broadcast(order), "label", "left").select("id", F.coalesce("theme", F.lit(NOISE)).alias("theme"))
     points = quantized(layout(vectors, "id").select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")), ["x", "y"]).join(themed, "id", "left")
     points = points.withColumn("theme", F.coalesce("theme", F.lit(NOISE)))
     inside = points.filter(F.col("theme") != NOISE)
     places = inside.join(papers.select("id", "category"), "id").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x"), F.median("y").alias("y"), F.mode("category", deterministic=True).alias("category"))
-    words = class_words(papers.join(themed, "id").select("theme", "text"), "theme", "text").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    words = class_words(papers.join(themed, "id").select("theme", "text"), "theme", "text", stop=stop, keep=keep).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
     named = {r["label"]: theme_name([x["term"] for x in r["t"]], 3) for r in words.collect()}
     dims = vectors.join(inside.select("id", "theme"), "id").select("theme", F.posexplode("embedding").alias("at", "v")).groupBy("theme", "at").agg(F.avg("v").alias("v"))
     centroids = {r["theme"]: [x["v"] for x in r["c"]] for r in dims.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("c")).collect()}

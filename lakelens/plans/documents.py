@@ -40,14 +40,25 @@ def golden(s: SparkSession, d: str) -> DataFrame:
 _WORDS = rf"wd AS (SELECT chunk_id, doc_id, lang, source, unnest(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{3,}}'), lambda x: regexp_replace(x, 's$', '')))) AS word FROM chunked)"
 
 
+def chunk_words(s: SparkSession, d: str) -> DataFrame:
+    """chunk_id, doc_id, seq, word and in how many chunks the word stands (df): a table made once of the documents, rare words together."""
+
+    def build() -> DataFrame:
+        words = M.keep(s)(chunked(s, d).select("chunk_id", "doc_id", "seq", F.explode(T.words(F.col("text"))).alias("word")), "words")
+        df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        return words.join(df, "word").sortWithinPartitions("df", "word")
+
+    return M.prepared(s, d, "documents", "chunk-words", build)
+
+
 @register("AGG22_chunk_frequency", f"WITH {CHUNKED}, {_WORDS} SELECT word, count(*) AS df FROM wd GROUP BY 1", views=False)
 def chunk_frequency(s: SparkSession, d: str) -> DataFrame:
-    return chunked(s, d).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return chunk_words(s, d).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 @register("AGG23_term_papers", f"WITH {CHUNKED}, {_WORDS} SELECT word, count(*) AS df, count(DISTINCT doc_id) AS papers FROM wd GROUP BY 1", views=False)
 def term_papers(s: SparkSession, d: str) -> DataFrame:
-    per = chunked(s, d).select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    per = chunk_words(s, d).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("k"))
     return per.groupBy("word").agg(F.sum("k").alias("df"), F.count(F.lit(1)).alias("papers"))
 
 
@@ -59,8 +70,7 @@ def chunk_facets(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rare(s: SparkSession, d: str) -> DataFrame:
-    words = chunked(s, d).select("chunk_id", "doc_id", "seq", F.explode(T.words(F.col("text"))).alias("word"))
-    return words.join(chunk_frequency(s, d).filter("df <= 3"), "word")
+    return chunk_words(s, d).filter("df <= 3")
 
 
 _RARE = f"WITH {CHUNKED}, {_WORDS}, df AS (SELECT word, count(*) AS df FROM wd GROUP BY 1 HAVING count(*) <= 3), rare AS (SELECT * FROM wd JOIN df USING (word))"
@@ -405,7 +415,7 @@ a AS (SELECT lang AS label, term, count(*) AS c FROM (SELECT lang, unnest(t) AS
 u AS (SELECT term FROM a GROUP BY 1 ORDER BY sum(c) DESC, term LIMIT 40000), b AS (SELECT * FROM a SEMI JOIN u USING (term)), l AS (SELECT label, sum(c) AS n FROM b GROUP BY 1), g AS (SELECT term, sum(c) AS n FROM b GROUP BY 1)
 SELECT label, term, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS place FROM (SELECT b.label, b.term, round(c / l.n * ln(1 + (SELECT avg(n) FROM l) / (g.n + 1)), 9) AS score FROM b JOIN l USING (label) JOIN g USING (term))) WHERE place <= 8""", views=False)
 def class_words(s: SparkSession, d: str) -> DataFrame:
-    return H.class_words(M.load(s, d, "documents"), "lang", "text")
+    return H.class_words(M.load(s, d, "documents"), "lang", "text", keep=M.keep(s))
 
 
 @register("AGG30_medians", "SELECT label, round(median(embedding[1]::DOUBLE), 6) AS x, round(median(embedding[2]::DOUBLE), 6) AS y, min_by(kind, (-n, kind)) AS top, CAST(sum(n1) AS BIGINT) AS n FROM (SELECT label, vec_id % 3 AS kind, embedding, count(*) OVER (PARTITION BY label, vec_id % 3) AS n, 1 AS n1 FROM embeddings) GROUP BY label", views=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,17 @@ def prepared(spark: SparkSession, sf_dir: str, source: str | tuple[str, ...], na
     return cached(f"{_folder(spark)}/lakelens-{name}", _state(spark, sf_dir, *sources), build, lambda p: _there(spark, p))
 
 
+def keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables to the session's shared folder and reads them back, so that what follows starts from files."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return written
+
+
 def indexed(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], key: str, kind: str, *texts: str) -> inverted.Index:
     """An inverted index made once of a source, kept likewise."""
     state = hashlib.sha256(_state(spark, sf_dir, source).encode()).hexdigest()[:16]

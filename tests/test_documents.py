@@ -128,9 +128,6 @@ def test_themes(spark):
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id int, embedding array<double>").repartition(3)
     z = np.array([r.z for r in H.layout(v, "id", 2).orderBy("id").collect()])
     assert abs(z.mean()) < 1e-9 and z[:, 0].var() > 15 and abs(np.corrcoef(z[:, 0], x[:, 0])[0, 1]) > 0.99
-    pairs = [(a, b, 1) for g in ((1, 2, 3, 4), (11, 12, 13, 14)) for a in g for b in g if a != b] + [(20, 1, 1), (21, 22, 1)]
-    labels = {r.id: r.label for r in H.density_clusters(spark.createDataFrame(pairs, "query_id int, vec_id int, rank int"), 3, 4).collect()}
-    assert {labels[i] for i in (1, 2, 3, 4)} == {1} and {labels[i] for i in (11, 12, 13, 14)} == {11} and labels[20] == labels[21] == H.NOISE
     data, digest = H.map_bytes([(1, 2, -1), (3, 4, 0)])
     assert len(data) == 12 and data[:4] == b"\x01\x00\x03\x00" and len(digest) == 64
     assert H.layout_name([1, 2], {"a": 1, "b": 2}) == H.layout_name([1, 2], {"b": 2, "a": 1}) != H.layout_name([2, 1], {"a": 1, "b": 2})
@@ -233,15 +230,21 @@ def test_golden(spark):
         N.board(ranked, expected.union(spark.createDataFrame([("z", "x")], expected.schema)), 3, F.substring_index("chunk", "#", 1))
 
 
-def test_map_and_transcripts(spark):
+def test_map_and_transcripts(spark, tmp_path):
     ids = list(range(12))
-    papers = spark.createDataFrame([(i, ("graph model search " if i < 6 else "chain index red ") * 3, "a" if i % 3 else "b") for i in ids], "id int, text string, category string")
-    vectors = spark.createDataFrame([(i, [1.0 + i / 100, 0.0] if i < 6 else [0.0, 1.0 + i / 100]) for i in ids], "id int, embedding array<double>")
-    pairs = [(a, b, 1) for g in (range(5), range(6, 10)) for a in g for b in g if a != b] + [(5, 11, 1), (11, 0, 1), (10, 3, 1)]
-    out = H.theme_map(papers, vectors, spark.createDataFrame(pairs, "query_id int, vec_id int, rank int"), 2, 3)
+    papers = spark.createDataFrame([(i, ("graph model search " if i < 7 else "chain index red ") * 3, "a" if i % 3 else "b") for i in ids], "id int, text string, category string")
+    vectors = spark.createDataFrame([(i, [1.0 + i / 100, 0.0] if i < 7 else [0.0, 1.0 + i / 100]) for i in ids], "id int, embedding array<double>")
+    names = iter(range(10_000))
+
+    def keep(df, label):
+        path = f"file://{tmp_path}/{label}-{next(names)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    out = H.theme_map(papers, vectors, 3, 2, keep)
     themes = {r.theme: (r.n, r.name.split(" · ")[0], r.category) for r in out["themes"].collect()}
-    assert themes[0][0] == 5 and themes[1][0] == 4 and {themes[0][1], themes[1][1]} <= {"graph", "graph model", "model", "model search", "search", "search graph", "chain", "chain index", "index", "index red", "red", "red chain"}
-    assert {r.id for r in out["points"].filter("theme = -1").collect()} == {5, 10, 11}
+    assert themes[0][0] == 7 and themes[1][0] == 5 and {themes[0][1], themes[1][1]} <= {"graph", "graph model", "model", "model search", "search", "search graph", "chain", "chain index", "index", "index red", "red", "red chain"}
+    assert {r.id for r in out["points"].filter("theme = 0").collect()} == set(range(7))
     talk = [(1, 0, "system", "s"), (1, 1, "user", "mail a@b.org"), (1, 2, "assistant", "yes " * 300), (1, 3, "user", "more"), (2, 0, "user", "hi")]
     c = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
     none = spark.createDataFrame([], "chunk_id string, hash string")
