@@ -214,7 +214,7 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
 
 def _texts(batches: Batches):
     for batch in batches:
-        for part in portions(batch, "text", 1 << 20):
+        for part in portions(batch, "text", 1 << 18):
             yield part, *utf8(part.column("text"))
 
 
