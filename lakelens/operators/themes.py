@@ -81,13 +81,13 @@ def class_words(docs: DataFrame, label: str, text: str, k: int = 8, most_df: int
     # a term's occurrences, and once for each row that holds it
     both = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("df"))), F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("df"))))
     counts = rows.select(F.col(label).alias("label"), F.explode(both).alias("x")).groupBy("label", "x.term").agg(F.sum("x.c").alias("c"), F.sum("x.df").alias("df"))
+    counts = keep(counts, "counts")
     least = F.greatest(F.lit(1), F.least(F.lit(most_df), F.floor(F.col("n_rows") / 50)))
     own = F.col("label").cast("string") != str(NOISE)
-    one = Window.partitionBy("term")  # a row a class at most
-    counts = counts.withColumn("of_rows", F.sum("df").over(one)).withColumn("total", F.sum("c").over(one)).withColumn("of_term", F.sum(F.when(own, F.col("c"))).over(one))
-    counts = keep(counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_rows")))).filter(F.col("of_rows") >= least).drop("n_rows"), "counts")
-    used = counts.select("term", "total").distinct().orderBy(F.desc("total"), "term").limit(features).select("term")
-    counts = keep(counts.join(used, "term", "left_semi").filter(own), "used")
+    by_term = counts.groupBy("term").agg(F.sum("df").alias("of_rows"), F.sum("c").alias("total"), F.sum(F.when(own, F.col("c"))).alias("of_term"))
+    by_term = by_term.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_rows")))).filter(F.col("of_rows") >= least)
+    used = by_term.orderBy(F.desc("total"), "term").limit(features).select("term", "of_term")
+    counts = keep(counts.join(used, "term").filter(own), "used")
     totals = counts.groupBy("label").agg(F.sum("c").alias("of_label"))
     totals = totals.join(F.broadcast(totals.agg(F.avg("of_label").alias("mean"))))
     scored = counts.join(totals, "label")

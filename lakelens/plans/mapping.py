@@ -15,7 +15,21 @@ from lakelens.operators.ordered import cached
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, f"{sf_dir}/{name}.parquet") if name == "documents" else rows
+
+
+#: A row group of a file is read by one task. Below as many bytes a core, rows of texts are dealt to all cores before they are worked on.
+ROW_GROUP = 1 << 23
+
+
+def spread(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of a table that is a file or two are dealt out evenly; a large table has enough row groups and is read as it is."""
+    spark = rows.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = sum(f.getLen() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size < cores * ROW_GROUP else rows
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +50,10 @@ def _folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: What is prepared is kept under this; another number makes tables of an older form unknown.
+FORMAT = "3"
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -51,7 +69,7 @@ def _state(spark: SparkSession, sf_dir: str, *sources: str) -> str:
 def prepared(spark: SparkSession, sf_dir: str, source: str | tuple[str, ...], name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table made once of its sources and kept as long as their files stay as they are."""
     sources = (source,) if isinstance(source, str) else source
-    return cached(f"{_folder(spark)}/lakelens-{name}", _state(spark, sf_dir, *sources), build, lambda p: _there(spark, p))
+    return cached(f"{_folder(spark)}/lakelens-{name}-{FORMAT}", _state(spark, sf_dir, *sources), build, lambda p: _there(spark, p))
 
 
 def keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
@@ -68,7 +86,7 @@ def keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
 def indexed(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], key: str, kind: str, *texts: str) -> inverted.Index:
     """An inverted index made once of a source, kept likewise."""
     state = hashlib.sha256(_state(spark, sf_dir, source).encode()).hexdigest()[:16]
-    place = f"{_folder(spark)}/lakelens-{name}/{state}"
+    place = f"{_folder(spark)}/lakelens-{name}-{FORMAT}/{state}"
     if _there(spark, f"{place}/stats/_SUCCESS"):
         return inverted.Index(place, key, kind, "plain", BUCKETS)
     return inverted.build(rows(), key, *texts, path=place, buckets=BUCKETS)
@@ -79,7 +97,7 @@ BUCKETS = 16
 
 def neighbours(spark: SparkSession, sf_dir: str) -> ann.Ann:
     """The index of approximate neighbours of all vectors, made once."""
-    place = f"{_folder(spark)}/lakelens-neighbours/{hashlib.sha256(_state(spark, sf_dir, 'embeddings').encode()).hexdigest()[:16]}"
+    place = f"{_folder(spark)}/lakelens-neighbours-{FORMAT}/{hashlib.sha256(_state(spark, sf_dir, 'embeddings').encode()).hexdigest()[:16]}"
     if _there(spark, f"{place}/head/_SUCCESS"):
         return ann.load(place)
     return ann.build(load(spark, sf_dir, "embeddings"), "vec_id", place)
