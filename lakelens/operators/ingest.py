@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -81,15 +83,77 @@ def word_chunks(markdown: DataFrame, key: str, size: int = 1000, overlap: float
     return rows.filter(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")) != "")
 
 
-def chunk_papers(papers: DataFrame, markdown: DataFrame, key: str, page_chars: int, size: int = 1000, overlap: float = 0.15) -> DataFrame:
+_VOCABULARIES: dict = {}
+
+
+def _vocabulary(path: str):
+    """A byte-level vocabulary (.json), read once a process; strings of special tokens are plain text."""
+    if path not in _VOCABULARIES:
+        from tokenizers import Tokenizer
+
+        _VOCABULARIES[path] = Tokenizer.from_file(path)
+        _VOCABULARIES[path].encode_special_tokens = True
+    return _VOCABULARIES[path]
+
+
+def token_ends(texts: list[str], path: str) -> list[np.ndarray]:
+    """For each text where its tokens end, in characters.
+
+    A token's name has a character for each of its bytes. A token that ends inside a character ends after it, as the
+    decoded prefix would.
+    """
+    vocabulary, out = _vocabulary(path), []
+    for text, e in zip(texts, vocabulary.encode_batch(texts, add_special_tokens=False), strict=True):
+        ends = np.cumsum([len(vocabulary.id_to_token(i)) for i in e.ids], dtype=np.int64)
+        begun = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        out.append(begun[ends - 1] if len(ends) else np.empty(0, np.int64))
+    return out
+
+
+def windows(n: int, size: int, overlap: float) -> np.ndarray:
+    """First tokens of the windows of n tokens, as window_starts gives them."""
+    step = max(1, size - round(size * overlap))
+    return np.arange(0, max(n - (size - step), 1) if n else 0, step)
+
+
+def token_windows(texts: DataFrame, key: list[str], text: str, path: str, size: int, overlap: float) -> DataFrame:
+    """The key columns, i, char_start, char_end and n_tokens of windows of tokens, cut where tokens end; offsets are within the text, null texts have none."""
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = []
+                for r, ends in enumerate(token_ends([t or "" for t in part.column(len(key)).to_pylist()], path)):
+                    starts = np.concatenate([[0], ends])
+                    rows += [(r, i, int(starts[i]), int(starts[min(i + size, len(ends))]), min(size, len(ends) - i)) for i in windows(len(ends), size, overlap).tolist()]
+                owner, *columns = [pa.array([x[c] for x in rows], k) for c, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(owner) for c in range(len(key))), *columns], names=[*key, "i", "char_start", "char_end", "n_tokens"])
+
+    return texts.select(*key, text).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", i int, char_start long, char_end long, n_tokens int")
+
+
+def token_chunks(markdown: DataFrame, key: str, path: str, size: int = 1000, overlap: float = 0.15) -> DataFrame:
+    """As word_chunks, in tokens of a vocabulary: sections are encoded by themselves, windows without a printing character are left out."""
+    body = F.expr("substring(markdown, char_start + 1, char_end - char_start)")
+    s = sections(markdown, key).join(markdown, key).select(key, "section", F.col("char_start").alias("section_start"), body.alias("body"))
+    cut = token_windows(s, [key, "section", "section_start", "body"], "body", path, size, overlap)
+    rows = cut.select(key, "section", "section_start", "i", F.expr("substring(body, char_start + 1, char_end - char_start)").alias("text"), (F.col("section_start") + F.col("char_start")).alias("char_start"), (F.col("section_start") + F.col("char_end")).alias("char_end"), "n_tokens")
+    return rows.filter(F.col("text").rlike(r"\S"))
+
+
+def chunk_papers(papers: DataFrame, markdown: DataFrame, key: str, page_chars: int, size: int = 1000, overlap: float = 0.15, vocabulary: str | None = None) -> DataFrame:
     """Chunks of papers: one of title and abstract, then windows of each section, numbered from 0, with their pages.
 
+    Windows are of tokens of the vocabulary (a path); without one, of words.
+
     papers: key, title, abstract; markdown: key, markdown. Pages are of `page_chars` characters.
     """
     head = F.trim(F.concat("title", F.lit("\n\n"), "abstract"))
-    first = papers.select(key, F.lit(PAPER).alias("section"), F.lit(-1).cast("long").alias("section_start"), F.lit(-1).alias("i"), head.alias("text"), F.size(F.regexp_extract_all(head, F.lit(r"([^ \t\n\x0B\f\r]+)"))).alias("n_tokens"), F.lit(1).cast("long").alias("page_start"), F.lit(1).cast("long").alias("page_end"))
+    first = papers.select(key, F.lit(PAPER).alias("section"), F.lit(-1).cast("long").alias("section_start"), F.lit(-1).alias("i"), head.alias("text"), F.size(tokenizer(vocabulary)(head)).alias("n_tokens"), F.lit(1).cast("long").alias("page_start"), F.lit(1).cast("long").alias("page_end"))
     page = lambda c: F.floor(c / page_chars) + 1
-    body = word_chunks(markdown, key, size, overlap)
+    body = token_chunks(markdown, key, vocabulary, size, overlap) if vocabulary else word_chunks(markdown, key, size, overlap)
     body = body.select(key, "section", "section_start", "i", "text", "n_tokens", page(F.col("char_start")).alias("page_start"), page(F.greatest(F.col("char_start"), F.col("char_end") - 1)).alias("page_end"))
     seq = F.row_number().over(Window.partitionBy(key).orderBy("section_start", "i")) - 1
     rows = first.unionByName(body).withColumn("seq", seq)
@@ -100,15 +164,9 @@ def tokenizer(path: str | None = None) -> Callable[[Column], Column]:
     """Text to token ids by a tokenizer file, special strings as text; without one, words stand for tokens by hash."""
     if path is None:
         return lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"([^ \t\n\x0B\f\r]+)")), lambda w: F.hash(w))
-    held = {}
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        if "t" not in held:
-            held["t"] = Tokenizer.from_file(path)
-            held["t"].encode_special_tokens = True
-        return pd.Series([e.ids for e in held["t"].encode_batch(text.fillna("").tolist(), add_special_tokens=False)])
+        return pd.Series([e.ids for e in _vocabulary(path).encode_batch(text.fillna("").tolist(), add_special_tokens=False)], dtype=object)
 
     return ids

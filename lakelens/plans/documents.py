@@ -165,6 +165,31 @@ def section_chunks(s: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "page_id", "section", "page_start", "page_end", F.sha2("text", 256).alias("digest"))
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("CHK01_token_chunks")
+def token_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Sections in windows of byte-pair tokens; no SQL encodes, so tests hold offsets against decoded prefixes."""
+    papers = M.load(s, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("title"), F.lit("page").alias("abstract"))
+    rows = I.chunk_papers(papers, _markdown(s, d), "page_id", 900, 60, vocabulary=_vocabulary())
+    return rows.select("chunk_id", "page_id", "section", "page_start", "page_end", "n_tokens", F.sha2("text", 256).alias("digest"))
+
+
+@register("CHK02_byte_pair_counts")
+def byte_pair_counts(s: SparkSession, d: str) -> DataFrame:
+    return M.load(s, d, "documents").select("doc_id", F.size(I.tokenizer(_vocabulary())(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@register("WIN09_token_windows")
+def token_windows(s: SparkSession, d: str) -> DataFrame:
+    """Windows of 512 byte-pair tokens of every document, 15 % shared, as places in its text."""
+    return I.token_windows(M.load(s, d, "documents"), ["doc_id"], "text", _vocabulary(), 512, 0.15)
+
+
 @register("CHK02_token_counts", rf"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n_tokens FROM documents", views=False)
 def token_counts(s: SparkSession, d: str) -> DataFrame:
     return M.load(s, d, "documents").select("doc_id", F.size(I.tokenizer()(F.col("text"))).cast("long").alias("n_tokens"))

@@ -116,6 +116,51 @@ def test_costs(spark):
     assert got == {1: 0.85, 2: 0.1, 3: 0.5}
 
 
+VOCABULARY = "byte_bpe_50k.json"
+TEXTS = ["plain words here", "", "日本語 🙂🙂 𐍈 é é", "<|endoftext|> is text\n\n  here", "x" * 3000, " \t\n", "\u200b\x00\x1c", "a\u3000b" * 50, None]
+
+
+def test_token_offsets_are_those_of_decoded_prefixes(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(VOCABULARY)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in own} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in set(own))}
+    some = [t or "" for t in TEXTS]
+    for text, ends in zip(some, I.token_ends(some, path), strict=True):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        raw = [bytes(byte[c] for c in plain.id_to_token(i)) for i in ids]
+        assert b"".join(raw) == text.encode()
+        assert ends.tolist() == [len(b"".join(raw[: i + 1]).decode(errors="replace")) for i in range(len(ids))]
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string").repartition(2)
+    got = I.token_windows(rows, ["id"], "text", path, 7, 0.3).collect()
+    for i, text in enumerate(some):
+        n = len(plain.encode(text, add_special_tokens=False).ids)
+        mine = sorted((r.i, r.char_start, r.char_end, r.n_tokens) for r in got if r.id == i)
+        assert [m[0] for m in mine] == list(range(0, max(n - 2, 1), 5) if n else [])
+        ends = [0, *I.token_ends([text], path)[0].tolist()]
+        assert mine == [(a, ends[a], ends[min(a + 7, n)], min(7, n - a)) for a, *_ in mine] and (not n or mine[-1][2] == len(text))
+    counted = rows.select("id", F.size(I.tokenizer(path)("text")).alias("n")).collect()
+    assert all(r.n == len(plain.encode(some[r.id], add_special_tokens=False).ids) for r in counted)
+
+
+def test_chunks_of_tokens(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path(VOCABULARY)
+    text = "lead in words\n# One\n" + "alpha 🙂 beta " * 20 + "\n# Two\n \n"
+    papers = spark.createDataFrame([("a", "Title", "Abstract")], "p string, title string, abstract string")
+    markdown = spark.createDataFrame([("a", text), ("b", "")], "p string, markdown string")
+    rows = I.chunk_papers(papers, markdown, "p", 50, 16, 0.25, vocabulary=path).orderBy("seq").collect()
+    assert rows[0].section == I.PAPER and rows[0].n_tokens == len(I.token_ends(["Title\n\nAbstract"], path)[0])
+    body = [r for r in rows if r.section == "One"]
+    assert all(r.text in text and r.n_tokens <= 16 for r in rows[1:]) and len(body) > 3
+    assert [r.seq for r in rows] == list(range(len(rows))) and {r.section for r in rows} == {I.PAPER, I.PREAMBLE, "One", "Two"}
+
+
 def test_themes(spark):
     import numpy as np
 
