@@ -1,14 +1,14 @@
 """Themes of a corpus: layouts, clusters, class words, groups of themes, and the map's export.
 
-Clusters are those of `density`. `layout` is a linear projection on principal axes in place of a neighbour embedding: it
-keeps the shape of the result (coordinates), not its values.
+Clusters are those of `density`. `layout` is the projection on principal axes, from which `manifold.layout` draws a map that
+keeps neighbours together; a map may be made of either.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,20 +152,22 @@ def map_bytes(rows: list[tuple[int, int, int]]) -> tuple[bytes, str]:
 MOST_THEMES = 1 << 12
 
 
-def theme_map(papers: DataFrame, vectors: DataFrame, size: int, samples: int, keep: Keep, dims: int = 10, per_group: int = 6, stop: list[str] = STOP_WORDS) -> dict[str, DataFrame]:
+def theme_map(papers: DataFrame, vectors: DataFrame, size: int, samples: int, keep: Keep, dims: int = 10, per_group: int = 6, stop: list[str] = STOP_WORDS, lay: Callable[[int], DataFrame] | None = None) -> dict[str, DataFrame]:
     """points (id, x, y, theme) and themes (theme, n, name, x, y, category, group), themes numbered by falling size.
 
-    papers: id, text, category; vectors: id, embedding. Clusters are those of a layout of `dims` dimensions. Names,
+    papers: id, text, category; vectors: id, embedding. Clusters are those of a layout of `dims` dimensions, the map is one
+    of two; `lay` gives a layout (id, z) of as many dimensions as are asked for, principal axes stand in for it. Names,
     centroids and groups of themes are made on the driver, of MOST_THEMES at most; with more, `size` is to be raised.
     """
     spark = papers.sparkSession
-    labels = keep(clusters(layout(vectors, "id", dims).select("id", F.col("z").alias("x")), size, samples, keep), "labels")
+    lay = lay or (lambda n: layout(vectors, "id", n))
+    labels = keep(clusters(lay(dims).select("id", F.col("z").alias("x")), size, samples, keep), "labels")
     sizes = keep(labels.filter(F.col("label") != NOISE).groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     if sizes.count() > MOST_THEMES:
         raise ValueError(f"more than {MOST_THEMES} themes: raise the least size of a cluster")
     order = sizes.withColumn("theme", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
     themed = labels.join(F.broadcast(order), "label", "left").select("id", F.coalesce("theme", F.lit(NOISE)).alias("theme"))
-    points = quantized(layout(vectors, "id").select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")), ["x", "y"]).join(themed, "id", "left")
+    points = quantized(lay(2).select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")), ["x", "y"]).join(themed, "id", "left")
     points = points.withColumn("theme", F.coalesce("theme", F.lit(NOISE)))
     inside = points.filter(F.col("theme") != NOISE)
     places = inside.join(papers.select("id", "category"), "id").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x"), F.median("y").alias("y"), F.mode("category", deterministic=True).alias("category"))

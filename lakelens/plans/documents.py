@@ -9,10 +9,12 @@ from lakelens.functions import text as T
 from lakelens.operators import evals as E
 from lakelens.operators import guard as G
 from lakelens.operators import ingest as I
+from lakelens.operators import manifold
 from lakelens.operators import ordered as O
 from lakelens.operators import relational as R
 from lakelens.operators import themes as H
 from lakelens.operators import traces as C
+from lakelens.operators.density import clusters
 from lakelens.plans import mapping as M
 from lakelens.plans.registry import register
 from lakelens.plans.retrieval import CHUNKED, chunked
@@ -471,6 +473,21 @@ def layout(s: SparkSession, d: str) -> DataFrame:
     return H.layout(M.load(s, d, "embeddings"), "vec_id").select("vec_id", F.round(F.col("z")[0], 6).alias("x"), F.round(F.col("z")[1], 6).alias("y"))
 
 
+@register("CLU01_neighbour_layout")
+def neighbour_layout(s: SparkSession, d: str) -> DataFrame:
+    """A map on which nearest neighbours stay together; tests hold its trustworthiness against the principal axes."""
+    vectors = M.load(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    at = manifold.layout(M.neighbours(s, d), vectors, H.layout(vectors, "id"), M.keep(s))
+    return at.select(F.col("id").alias("vec_id"), F.round(F.col("z")[0], 6).alias("x"), F.round(F.col("z")[1], 6).alias("y"))
+
+
+@register("CLU02_regions")
+def regions(s: SparkSession, d: str) -> DataFrame:
+    """Regions of density on ten principal axes; tests hold labels against a plain hierarchy over all pairs."""
+    vectors = M.load(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return clusters(H.layout(vectors, "id", 10).select("id", F.col("z").alias("x")), 15, 5, M.keep(s)).select(F.col("id").alias("vec_id"), "label")
+
+
 # ---------------------------------------------------------------- sources, sinks and checks that are table operations
 
 @register("SRC05_snapshot_window", "SELECT pid, published FROM catalog WHERE published = '' OR published BETWEEN '1995-01-01' AND '1995-12-31'", "catalog")
