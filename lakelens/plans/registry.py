@@ -32,7 +32,7 @@ def load_all() -> None:
     """Imports the modules that register queries here."""
     import importlib
 
-    for module in ("more", "catalog", "strings", "retrieval", "ordered", "documents"):
+    for module in ("more", "catalog", "strings", "retrieval", "ordered", "documents", "stores"):
         importlib.import_module(f"lakelens.plans.{module}")
 
 

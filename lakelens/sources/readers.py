@@ -125,10 +125,11 @@ def session_turns(spark: SparkSession, path: str) -> DataFrame:
     """session_id, turn_no, prompt and lines of session logs (JSON lines, a record each).
 
     Records without a session, of side chains, meta or summaries, and bad lines do not count. A session that goes on in
-    another file keeps the order of files.
+    another file keeps the order of files. Lines of a file are numbered where it is read, whole: a log is of one session or a few.
     """
     record = "struct<type:string,sessionId:string,isSidechain:boolean,isMeta:boolean,isCompactSummary:boolean,message:struct<content:string>>"
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", record).alias("r"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = whole.select("file", "line", F.from_json("value", record).alias("r"))
     off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     rows = lines.select("file", "line", "r.*").filter("sessionId is not null and type in ('user', 'assistant')").filter(off("isSidechain") & off("isMeta") & off("isCompactSummary"))
     content = F.col("message.content")

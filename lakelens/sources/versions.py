@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakelens.sources.writers import Invalid, check, repeated
+from lakelens.sources.writers import Invalid, check, corpus_violations, index_violations, repeated
 
 
 class Conflict(RuntimeError):
@@ -173,3 +173,27 @@ class Store:
                 if part.isDirectory() and name not in used:
                     went += self._fs.delete(part.getPath(), True)
         return went
+
+
+def publish_index(store: Store, documents: DataFrame, chunks: DataFrame, facets: DataFrame, vectors: DataFrame) -> int:
+    """A search index as one version, checked before anything is written; facets are keyed by document, key and value."""
+    check(**index_violations(documents, chunks, vectors))
+    named = facets.withColumn("facet_id", F.concat_ws("\x1f", "doc_id", "key", "value"))
+    return store.write(documents=(documents, "doc_id"), chunks=(chunks, "chunk_id"), facets=(named, "facet_id"), vectors=(vectors, "chunk_id"))
+
+
+def publish_corpus(store: Store, papers: DataFrame, citations: DataFrame, works: DataFrame, chunks: DataFrame, named: list[str]) -> int:
+    """A corpus as one version, checked likewise; edges are distinct and keyed by both ends."""
+    check(**corpus_violations(papers, citations, works, chunks, named))
+    edges = citations.distinct().withColumn("edge_id", F.concat_ws("\x1f", "citing_id", "cited_id"))
+    return store.write(papers=(papers, "paper_id"), citations=(edges, "edge_id"), works=(works, "work_id"), chunks=(chunks, "chunk_id"))
+
+
+def refresh_transcripts(store: Store, conversations: DataFrame, most: int = 1500) -> tuple[int, set[int]]:
+    """Brings the chunks of a transcript index to what the conversations are now; only buckets with a changed chunk are rewritten."""
+    from lakelens.operators.traces import transcript_index
+
+    chunks = transcript_index(conversations, store.spark.createDataFrame([], "chunk_id string, hash string"), most)["todo"]
+    if "transcripts" in store.manifest()[1]:
+        return store.merge("transcripts", chunks, whole=True)
+    return store.write(transcripts=(chunks, "chunk_id")), set(range(store.buckets))

@@ -14,13 +14,21 @@ def _fs(spark: SparkSession, path: str):
 
 
 def staged(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
-    """Written beside its place and moved there when complete, so that a run that fails leaves the old table."""
+    """Written beside its place and moved there when complete; the old table is moved aside first, and back if that fails.
+
+    A reader may meet a moment without a table; where that matters, `versions.Store` has none.
+    """
     spark, stage = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     df.write.format(form).options(**options).save(stage)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    aside = _fs(spark, f"{stage}.old")[1]
+    had = fs.exists(target) and fs.rename(target, aside)
     if not fs.rename(_fs(spark, stage)[1], target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"could not move {stage} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 class Invalid(ValueError):
@@ -98,12 +106,13 @@ def write_shard(df: DataFrame, path: str, shard: int) -> None:
 
 
 def merge_shards(spark: SparkSession, path: str, target: str, key: str, shards: int) -> None:
-    """All shards as one table, the first seen row of each key; a missing shard raises."""
+    """All shards as one table, the first seen row of each key, within a shard the smallest by its other columns; a missing shard raises."""
     rows = spark.read.parquet(path)
     there = {r["shard"] for r in rows.select("shard").distinct().collect()}
     if there != set(range(shards)):
         raise Invalid(f"shards missing: {sorted(set(range(shards)) - there)}")
-    staged(first_seen(rows, key, F.col("shard")).drop("shard"), target)
+    others = [c for c in rows.columns if c not in (key, "shard")]
+    staged(first_seen(rows, key, F.struct("shard", *others)).drop("shard"), target)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
