@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakelens.operators import evals as E
 from lakelens.operators import hybrid as H
-from lakelens.operators import inverted
+from lakelens.operators import inverted, latent, reranker
 from lakelens.operators import lexical as L
 from lakelens.operators.relational import once
 from lakelens.plans import mapping as M
@@ -327,3 +327,24 @@ def stale_golden(s: SparkSession, d: str) -> DataFrame:
     _, expected = rankings(s, d)
     index = M.load(s, d, "lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_partkey").alias("chunk"))
     return expected.join(index, "chunk", "left_anti").select("question", "chunk")
+
+
+@register("RET12_latent_embedding")
+def latent_embedding(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents by factors learnt from them; tests hold singular values against numpy and neighbours against hashed words."""
+    docs = M.load(s, d, "documents").select("doc_id", "text")
+    model = latent.learn(docs, "doc_id", "text", M.keep(s), rank=32)
+    return model.embed(docs, "doc_id", "text").select("doc_id", F.transform("embedding", lambda x: F.round(x, 3)).alias("embedding"))
+
+
+@register("RET11_learned_rerank")
+def learned_rerank(s: SparkSession, d: str) -> DataFrame:
+    """What users said asks for the answers within five turns, of which the next is right; every held-out question's gain before and after."""
+    c = M.load(s, d, "conversations")
+    asked = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.concat_ws(" ", "conv_id", "turn", "text").alias("question"))
+    said = c.filter("role = 'assistant'").select("conv_id", "turn", "text")
+    near = asked.join(said, "conv_id").filter("turn between at - 5 and at + 5")  # ten answers a question at most
+    rank = F.row_number().over(Window.partitionBy("conv_id", "at").orderBy("turn"))
+    rows = M.keep(s)(near.select("question", "text", rank.alias("rank"), (F.col("turn") == F.col("at") + 1).cast("int").alias("grade")), "candidates")
+    out = reranker.measured(reranker.learn(rows, trees=20), rows)
+    return out.select("question", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
