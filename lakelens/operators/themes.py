@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lakelens.operators.density import Keep, clusters
 from lakelens.operators.relational import once
+from lakelens.operators.selection import median
 
 NOISE = -1
 # Words that name no theme.
@@ -170,7 +171,9 @@ def theme_map(papers: DataFrame, vectors: DataFrame, size: int, samples: int, ke
     points = quantized(lay(2).select("id", F.col("z")[0].alias("x"), F.col("z")[1].alias("y")), ["x", "y"]).join(themed, "id", "left")
     points = points.withColumn("theme", F.coalesce("theme", F.lit(NOISE)))
     inside = points.filter(F.col("theme") != NOISE)
-    places = inside.join(papers.select("id", "category"), "id").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x"), F.median("y").alias("y"), F.mode("category", deterministic=True).alias("category"))
+    places = inside.join(papers.select("id", "category"), "id").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.mode("category", deterministic=True).alias("category"))
+    for c in ("x", "y"):
+        places = places.join(median(inside, "theme", c, keep).withColumnRenamed("median", c), "theme")
     words = class_words(papers.join(themed, "id").select("theme", "text"), "theme", "text", stop=stop, keep=keep).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
     named = {r["label"]: theme_name([x["term"] for x in r["t"]], 3) for r in words.collect()}
     dims = vectors.join(inside.select("id", "theme"), "id").select("theme", F.posexplode("embedding").alias("at", "v")).groupBy("theme", "at").agg(F.avg("v").alias("v"))

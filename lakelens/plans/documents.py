@@ -9,7 +9,7 @@ from lakelens.functions import text as T
 from lakelens.operators import evals as E
 from lakelens.operators import guard as G
 from lakelens.operators import ingest as I
-from lakelens.operators import manifold
+from lakelens.operators import manifold, selection
 from lakelens.operators import ordered as O
 from lakelens.operators import relational as R
 from lakelens.operators import themes as H
@@ -361,7 +361,7 @@ for _name, _by in (("session", ["session_id"]), ("network_day", ["network", "day
 
 @register("AGG32_latency_cost", "SELECT tool, median(cost) AS p50, list_sort(list(cost))[greatest(1, CAST(floor(0.95 * count(*)) AS BIGINT))] AS p95, max(cost) AS worst, round(avg(cost), 6) AS mean FROM runs GROUP BY tool")
 def latency_cost(s: SparkSession, d: str) -> DataFrame:
-    return R.quantiles(M.runs(s, d), "tool", "cost")
+    return selection.latency(M.runs(s, d), "tool", "cost", M.keep(s))
 
 
 @register("BUD01_budget_gate", """SELECT run_id, messages, CASE WHEN messages >= 15 THEN 'deny: session' WHEN ip_cents / 100 >= 0.1 THEN 'deny: network' WHEN day_cents / 100 >= 0.5 THEN 'replay' ELSE 'allow' END AS verdict FROM (SELECT run_id, count(*) OVER (PARTITION BY session_id ORDER BY ts, run_id ROWS UNBOUNDED PRECEDING) AS messages,
@@ -449,7 +449,8 @@ def class_words(s: SparkSession, d: str) -> DataFrame:
 def medians(s: SparkSession, d: str) -> DataFrame:
     e = M.load(s, d, "embeddings").select("label", (F.col("vec_id") % 3).alias("kind"), F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
     top = e.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.min(F.struct((-F.col("k")).alias("m"), "kind")).alias("t"), F.sum("k").alias("n"))
-    xy = e.groupBy("label").agg(F.round(F.median("a"), 6).alias("x"), F.round(F.median("b"), 6).alias("y"))
+    x, y = (selection.median(e, "label", c, M.keep(s)).select("label", F.round("median", 6).alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    xy = x.join(y, "label")
     return xy.join(top, "label").select("label", "x", "y", F.col("t.kind").alias("top"), "n")
 
 
