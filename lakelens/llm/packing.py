@@ -1,18 +1,18 @@
-"""Best-fit packing of token sequences, bulk-synchronous.
+"""Best-fit packing of token sequences by a sweep over run-length encoded lengths.
 
 Documents are tokenized where they are read; texts never move. A document of more than ``size``
 tokens is cut into pieces of ``size``, of which the first may be shorter.
 
-Matching goes in rounds, longest pieces first, over pieces and gaps in sorted order. Lengths and
-gaps are integers up to ``size``, so both orders are kept run-length encoded: a run of pieces is a
-length and how many there are, a run of gaps is a range of consecutive sequences with equal room.
-A round sweeps the pieces of one length against their successors among the gaps (the smallest gap
-that holds them); where many pieces want the same gap, their rank decides; the gaps shrink, and the
-next round sees them at their new place. What is left without a gap opens new sequences. The
-result is that of best-fit decreasing. The sweep is over at most ``size`` lengths whatever the
-input, while all rows take part through their rank: rank within a task is counted while tokenizing,
-tasks are put after one another by a running sum for each length, and a piece finds its sequence
-and place from its rank alone. No length, source or document is ever gathered in one task.
+Matching is one loop on the driver, longest pieces first, in place of distributed sweeps in rounds:
+lengths and gaps are integers up to ``size``, so both are kept run-length encoded (a run of pieces
+is a length and how many there are, a run of gaps is a range of consecutive sequences with equal
+room), and the loop sees at most ``size`` lengths whatever the input. The pieces of one length go to
+the smallest gap that holds them; where many want the same gap, their rank decides. What is left
+without a gap opens new sequences. The result is that of best-fit decreasing. All rows take part
+through their rank: it is counted while tokenizing within a task, tasks are put after one another by
+a running sum for each length, and a piece finds its sequence and place from its rank alone. Of
+pieces of equal length those of a task read earlier come first, in the order of its rows. No length,
+source or document is ever gathered in one task.
 
 Null and empty texts have just the end token. Rows that repeat a doc_id are packed each for
 itself. An empty table gives no pieces. Texts are tokenized whole, however long.
