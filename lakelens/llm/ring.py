@@ -101,9 +101,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, vnodes: int = 64, slices: int
     in_order = Window.partitionBy("arc", "slice").orderBy("gap", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("upto", F.sum("copies").over(in_order)).join(F.broadcast(steps), ["arc", "slice"])  # of a fixed size
     ranked = ranked.withColumn("rank", F.col("first") + F.col("upto") - F.col("copies"))
-    for width in (COPIES, 1):  # copies get consecutive ranks; a huge number of them is laid out in two steps
-        upto = F.col("copies") if width > 1 else F.least(F.lit(COPIES), F.col("copies") - F.col("at"))
-        ranked = ranked.withColumn("at" if width > 1 else "more", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1, F.lit(width).cast("long"))))
+    # copies get consecutive ranks; a huge number of them is cut into lots first, which are dealt out before they are laid out
+    lots = ranked.filter(F.col("copies") > COPIES).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))).repartition(F.xxhash64("doc_id", "text_crc32", "at"))
+    ranked = ranked.filter(F.col("copies") <= COPIES).withColumn("at", F.lit(0).cast("long")).unionByName(lots)
+    ranked = ranked.withColumn("more", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES), F.col("copies") - F.col("at")) - 1)))
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("at") + F.col("more"))
     step = F.size(F.filter("lo", lambda x: x <= F.col("rank")))
     ranked = ranked.withColumn("step", step)

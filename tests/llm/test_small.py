@@ -256,3 +256,11 @@ def test_statistics_and_trees_by_hand():
             total += trees.value[node]
         assert got == pytest.approx(1 / (1 + math.exp(-total)))
     assert ((trees.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_hot_copies_in_lots_change_nothing(spark, monkeypatch):
+    rows = [(7, "the same text")] * 150 + [(i, f"text {i % 40}") for i in range(300)]
+    want = Counter(tuple(r) for r in ring.shard_rows(table(spark, rows)).collect())
+    monkeypatch.setattr(ring, "COPIES", 7)
+    got = Counter(tuple(r) for r in ring.shard_rows(table(spark, rows)).collect())
+    assert got == want and sum(got.values()) == 450
