@@ -11,9 +11,12 @@ RATES = (0.10, 0.50, 0.01)
 
 
 def spend(runs: DataFrame, *by: str) -> DataFrame:
-    """Cents and runs by any columns; missing costs count nothing. Whole cents add up the same in any order."""
-    cents = F.round(F.col("cost") * 100).cast("long")
-    return runs.groupBy(*by).agg(F.coalesce(F.sum(cents), F.lit(0)).alias("cents"), F.count(F.lit(1)).alias("runs"))
+    """Dollars, cents and runs by any columns; missing costs count nothing.
+
+    Dollars are added in billionths, as whole numbers, which add up the same in any order; cents are those of each run, rounded.
+    """
+    whole = lambda unit: F.coalesce(F.sum(F.round(F.col("cost") * unit).cast("long")), F.lit(0))
+    return runs.groupBy(*by).agg((whole(1_000_000_000) / 1_000_000_000).alias("usd"), whole(100).alias("cents"), F.count(F.lit(1)).alias("runs"))
 
 
 def verdict(messages: Column, ip_spend: Column, global_spend: Column) -> Column:

@@ -356,7 +356,7 @@ def read_pages(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- traces
 
 for _name, _by in (("session", ["session_id"]), ("network_day", ["network", "day"])):
-    register(f"AGG21_spend_by_{_name}", f"SELECT {', '.join(_by)}, CAST(coalesce(sum(CAST(round(cost * 100) AS BIGINT)), 0) AS BIGINT) AS cents, count(*) AS runs FROM (SELECT *, session_id % 7 AS network FROM runs) GROUP BY {', '.join(_by)}")(lambda s, d, by=_by: C.spend(M.runs(s, d).withColumn("network", F.col("session_id") % 7), *by))
+    register(f"AGG21_spend_by_{_name}", f"SELECT {', '.join(_by)}, coalesce(sum(CAST(round(cost * 1000000000) AS BIGINT)), 0)::DOUBLE / 1000000000 AS usd, CAST(coalesce(sum(CAST(round(cost * 100) AS BIGINT)), 0) AS BIGINT) AS cents, count(*) AS runs FROM (SELECT *, session_id % 7 AS network FROM runs) GROUP BY {', '.join(_by)}")(lambda s, d, by=_by: C.spend(M.runs(s, d).withColumn("network", F.col("session_id") % 7), *by))
 
 
 @register("AGG32_latency_cost", "SELECT tool, median(cost) AS p50, list_sort(list(cost))[greatest(1, CAST(floor(0.95 * count(*)) AS BIGINT))] AS p95, max(cost) AS worst, round(avg(cost), 6) AS mean FROM runs GROUP BY tool")

@@ -245,3 +245,12 @@ def display(s: SparkSession, d: str) -> DataFrame:
     e = M.load(s, d, "events")
     rank = lambda k: F.when(F.col("event_id") % k != 0, F.col("event_id") % k)
     return e.select("event_id", T.pct(F.col("value") / 100).alias("share"), T.ordinal(F.col("event_id") % 130).alias("place"), T.rank_band(rank(7)).alias("band"), T.rerank_move(rank(7), rank(5)).alias("move"), T.month_name(F.date_format("ts", "yyMM")).alias("month"))
+
+
+@register("STR29_best_of_board", """SELECT tool, year, round(mean, 6) AS mean, n, floor(mean * 100 + 0.5) = min(floor(mean * 100 + 0.5)) OVER (PARTITION BY year) AS cheapest, n = max(n) OVER (PARTITION BY year) AS busiest
+FROM (SELECT tool, CAST(session_id % 10 AS INTEGER) AS year, CAST(sum(CAST(round(cost * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000 AS mean, count(*) AS n FROM runs GROUP BY ALL)""")
+def best_of_board(s: SparkSession, d: str) -> DataFrame:
+    """Boards of tools, one for each last digit of a session: which is cheapest as printed, which has most runs."""
+    runs = M.runs(s, d).select("tool", (F.col("session_id") % 10).cast("int").alias("year"), F.round(F.col("cost") * 1000).cast("long").alias("m"))
+    board = runs.groupBy("tool", "year").agg((F.sum("m").cast("double") / F.count(F.lit(1)) / 1000).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return board.select("tool", "year", F.round("mean", 6).alias("mean"), "n", T.is_best(F.col("mean"), ["year"], lower=True).alias("cheapest"), T.is_best(F.col("n"), ["year"], exact=True).alias("busiest"))

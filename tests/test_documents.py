@@ -55,6 +55,14 @@ def test_words_and_headings(spark):
     assert one(spark, T.usd(F.col("a").cast("double")), a="0.000659") == "$0.000659" and one(spark, T.millis(F.col("a").cast("double")), a="1234") == "1.2 s"
 
 
+def test_best_of_a_board(spark):
+    rows = spark.createDataFrame([("a", 0.9301, 4.1e-8), ("a", 0.9302, 4.2e-8), ("a", 0.89, 5.0e-8), ("b", 0.1, 1.0)], "board string, pool double, usd double")
+    got = rows.select("pool", T.is_best(F.col("pool"), ["board"]).alias("p"), T.is_best(F.col("usd"), ["board"], lower=True, exact=True).alias("u")).collect()
+    assert {r.pool: (r.p, r.u) for r in got} == {0.9301: (True, True), 0.9302: (True, False), 0.89: (False, False), 0.1: (True, True)}
+    spent = C.spend(spark.createDataFrame([("x", 0.000659), ("x", 0.0000004), ("x", None)], "k string, cost double"), "k").first()
+    assert (spent.usd, spent.cents, spent.runs) == (0.0006594, 0, 3)
+
+
 def test_citation_ids(spark):
     ids = lambda t: one(spark, I.cited_ids(F.col("t"), F.lit("2607.00001"), "2608"), t=t)
     assert ids("arXiv:2505.09388 and https://arxiv.org/pdf/2401.00002v2") == ["2401.00002", "2505.09388"]
