@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +29,10 @@ def shingles(words: Column, n: int) -> Column:
 
 
 def shingle_places(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, at (from 0) and hash of every run of n words."""
-    words = once(df.select(key, text), "_words", answer_words(F.col(text)))
-    return words.select(key, F.posexplode(shingles(F.col("_words"), n)).alias("at", "x")).select(key, "at", F.xxhash64("x").alias("hash"))
+    """key, at (from 0) and hash of every run of n words; words are hashed once, runs are hashes of their words' hashes."""
+    words = once(df.select(key, text), "_words", F.transform(answer_words(F.col(text)), lambda w: F.xxhash64(w)))
+    starts = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - n + 1)).otherwise(F.array().cast("array<int>"))
+    return words.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.lit(n))))).alias("at", "hash"))
 
 
 def matches(answers: DataFrame, key: str, sources: DataFrame, n: int) -> DataFrame:
@@ -95,9 +97,11 @@ def _runs(words: list[str], held: dict[tuple, set], n: int) -> list[tuple[int, i
     return out
 
 
-def _held(sources: dict[str, list[str]], n: int) -> dict[tuple, set]:
+@lru_cache(maxsize=4)
+def _held(sources: tuple[tuple[str, tuple[str, ...]], ...], n: int) -> dict[tuple, set]:
+    """Runs of n words and the papers that have them; answers that follow one another often share their sources."""
     out: dict[tuple, set] = {}
-    for paper, texts in sources.items():
+    for paper, texts in sources:
         for text in texts:
             words = _TOKEN.findall(text.lower())
             for i in range(len(words) - n + 1):
@@ -120,11 +124,12 @@ def harden(text: str, sources: dict[str, list[str]], allowed: Iterable[str], mos
         return text
 
     words = lambda t: [w.lower() for w in _TOKEN.findall(t)]
-    long = [(a, z) for a, z, _ in _runs(words(text), _held(sources, most + 1), most + 1)]
+    named = tuple((p, tuple(x)) for p, x in sources.items())
+    long = [(a, z) for a, z, _ in _runs(words(text), _held(named, most + 1), most + 1)]
     text = cut(text, long, most)
     used: dict[str, int] = {}
     over = []
-    for a, z, owners in _runs(words(text), _held(sources, least), least):
+    for a, z, owners in _runs(words(text), _held(named, least), least):
         if all(used.get(p, 0) >= quotes for p in owners):
             over.append((a, z))
         else:
