@@ -67,25 +67,23 @@ class Cells:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(far))], names=["id", "x", "cell", "off"])
 
         self.rows = keep(rows.mapInArrow(run, "id long, x array<float>, cell int, off double"), "cells")
-
-    def visits(self, points: DataFrame, bound: str, extra: str = "id", cells: DataFrame | None = None) -> DataFrame:
-        """The columns of points (with x) and the cells that may hold a point nearer than the bound, by centres, radii and what `cells` adds."""
-        held = self.rows.groupBy("cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n"))
-        facts = {r["cell"]: (r["radius"], r["n"]) for r in held.collect()}  # a row a cell
-        radius = np.array([facts.get(i, (-np.inf, 0))[0] for i in range(len(self.centres))])
-        parts = np.array([-(-facts.get(i, (0, 0))[1] // PART) for i in range(len(self.centres))])
-        own = {r["cell"]: r["only"] for r in cells.collect()} if cells is not None else {}
-        only = np.array([own.get(i) if own.get(i) is not None else -1 for i in range(len(self.centres))])
-        sent, width, names = self.spark.sparkContext.broadcast((self.centres, radius, parts, only)), self.width, points.columns
+        self.radius, self.parts = np.full(len(self.centres), -np.inf), np.zeros(len(self.centres), np.int64)
+        for r in self.rows.groupBy("cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
+            self.radius[r["cell"]], self.parts[r["cell"]] = r["radius"], -(-r["n"] // PART)
+
+    def visits(self, points: DataFrame, bound: str, component: str, only: np.ndarray | None = None) -> DataFrame:
+        """The columns of points (with x) and the cells that may hold a point nearer than the bound; `only`: of which component a cell wholly is, or -1."""
+        only = np.full(len(self.centres), -1) if only is None else only
+        sent, width, names = self.spark.sparkContext.broadcast((self.centres, self.radius, self.parts, only)), self.width, points.columns
         schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cell int, part int"
 
         def run(batches: Batches) -> Batches:
             centres, radius, parts, only = sent.value
             for batch in batches:
                 x, most = _matrix(batch.column("x"), width), np.asarray(batch.column(bound))
-                component = np.asarray(batch.column(extra))
+                mine = np.asarray(batch.column(component))
                 for s in _slices(len(x), len(centres), width):
-                    near = (_gaps(x[s], centres) - radius * (1 + 1e-6) - 1e-6 <= most[s][:, None]) & (parts > 0) & (only[None] != component[s][:, None])
+                    near = (_gaps(x[s], centres) - radius * (1 + 1e-6) - 1e-6 <= most[s][:, None]) & (parts > 0) & (only[None] != mine[s][:, None])
                     i, c = np.nonzero(near)
                     i, c = np.repeat(i, parts[c]), np.repeat(c, parts[c])
                     turn = np.arange(len(c)) - np.searchsorted(i * len(centres) + c, i * len(centres) + c)
@@ -96,8 +94,8 @@ class Cells:
 
     def parted(self, rows: DataFrame) -> DataFrame:
         """Rows of cells, dealt over the parts of their cell."""
-        n = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
-        return rows.join(F.broadcast(n), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        n = F.broadcast(self.spark.createDataFrame([(i, int(p)) for i, p in enumerate(self.parts) if p], "cell int, parts int"))
+        return rows.join(n, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
 
 def _least_of(left: DataFrame, right: DataFrame, each: Callable[[np.ndarray, pa.Table, pa.Table], pa.Table], schema: str, width: int) -> DataFrame:
@@ -154,7 +152,8 @@ def _joined(edges: DataFrame, parent: DataFrame, keep: Keep) -> DataFrame:
         parent = keep(parent.join(hook.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "parents")
         while True:  # until all point to a root
             up = parent.select(F.col("id").alias("component"), F.col("component").alias("to"))
-            jumped = keep(parent.join(up, "component").select("id", F.col("to").alias("component"), (F.col("to") != F.col("component")).alias("moved")), "jumps")
+            over = up.select(F.col("component").alias("to"), F.col("to").alias("top"))
+            jumped = keep(parent.join(up, "component").join(over, "to").select("id", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")), "jumps")
             parent = jumped.select("id", "component")
             if not jumped.filter("moved").take(1):
                 break
@@ -168,9 +167,8 @@ def spanning_tree(cells: Cells, cores: DataFrame) -> DataFrame:
     tree: DataFrame | None = None
     most_core = cores.groupBy("cell").agg(F.max("core").alias("c"))
     reach = {r["cell"]: r["c"] for r in most_core.collect()}  # a row a cell
-    radius = {r["cell"]: r["r"] for r in cells.rows.groupBy("cell").agg(F.max("off").alias("r")).collect()}
     limit = np.array([max(reach.get(i, np.inf), 0) for i in range(len(cells.centres))])
-    radius = np.array([radius.get(i, np.inf) for i in range(len(cells.centres))])
+    radius = np.where(np.isfinite(cells.radius), cells.radius, np.inf)
     while True:
         rows = keep(cores.join(component, "id"), "round")
         if rows.select("component").distinct().limit(2).count() < 2:
@@ -211,7 +209,7 @@ def spanning_tree(cells: Cells, cores: DataFrame) -> DataFrame:
             one = order[np.flatnonzero(np.diff(ca[order], prepend=-1))] if len(order) else order
             return pa.table({"component": pa.array(ca[one]), "w": pa.array(best[one]), "a": pa.array(first[one]), "b": pa.array(hi[one])})
 
-        found = _least_of(cells.visits(asking, "most", "component", cells=only), held, shortest, "component long, w double, a long, b long", width)
+        found = _least_of(cells.visits(asking, "most", "component", pure), held, shortest, "component long, w double, a long, b long", width)
         chosen = found.groupBy("component").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
         chosen = keep(chosen, "chosen")
         tree = chosen if tree is None else tree.unionByName(chosen)  # a table a round
