@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,26 +16,46 @@ from lakelens.llm.secrets import redact_secrets
 from lakelens.llm.shared import keep, table
 
 
+#: Rows that travel to a Python worker at once, in place of ten thousand: whole texts are large, and workers of one machine share its memory.
+ROWS = 2_000
+
+
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, whose result is read in small batches; the setting stays, as results are read after the stage returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of smallest doc_id. Five words, a similarity of 0.8 or more."""
     return keep_one_of_each(docs, words=5, num=80, den=100)
 
 
+@bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
     return redact_secrets(docs)
 
 
+@bounded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -31,7 +31,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import ALNUM, LOWER, U64, gram_hashes, keep, numbered, pick, portions, ranges, scratch, utf8, word_bounds, word_hashes
+from lakelens.llm.shared import ALNUM, LOWER, U64, gram_hashes, keep, numbered, pick, portions, ranges, scratch, tidy, utf8, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS, PIECE = 1 << 20, 1 << 18
@@ -226,4 +226,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
                 hit, _ = judge(*doc_words(part, column), blocks())
                 yield part.filter(pa.array(hit == 0))
 
-    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)
+    return safe.mapInArrow(tidy(run), safe.schema).toDF(*docs.columns)

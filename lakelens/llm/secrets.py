@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakelens.llm.shared import numbered, pick
+from lakelens.llm.shared import numbered, pick, portions, tidy
 
 KINDS = ("assign", "access", "hex", "named")
 #: Letters of the keyword in either case, ASCII only.
@@ -259,13 +259,14 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [redact(t, scan_text(t)[1], mark) for t in old]
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(new, batch.schema.field(at).type)
-            if count is not None:
-                had = arrays[count].to_pylist()
-                arrays[count] = pa.array([h if a == b or b is None else len(b) for h, a, b in zip(had, old, new, strict=True)], batch.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-
-    return safe.mapInArrow(run, safe.schema).toDF(*names)
+            for part in portions(batch, at, 1 << 20):
+                old = part.column(at).to_pylist()
+                new = [redact(t, scan_text(t)[1], mark) for t in old]
+                arrays = list(part.columns)
+                arrays[at] = pa.array(new, part.schema.field(at).type)
+                if count is not None:
+                    had = arrays[count].to_pylist()
+                    arrays[count] = pa.array([h if a == b or b is None else len(b) for h, a, b in zip(had, old, new, strict=True)], part.schema.field(count).type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+
+    return safe.mapInArrow(tidy(run), safe.schema).toDF(*names)
