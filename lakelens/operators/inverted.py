@@ -3,8 +3,9 @@
 A block is what one portion of rows holds of a term: the rows' keys in order, their lengths and the
 places of the term in each. Portions are inverted where they are read; then blocks travel to the
 bucket of their term, never tokens as rows. A frequent term is many blocks, which ``spread`` deals
-over several files of its bucket. A phrase is matched by intersecting places moved back by each
-word's turn, so texts are not read again.
+over several parts of its bucket; Spark cuts parts that are large and joins small ones, so that what a
+task sorts and writes does not grow with the table. A phrase is matched by intersecting places moved
+back by each word's turn, so texts are not read again.
 
 Rows without tokens count in the statistics (their length is zero) and are in no list; null texts
 have no tokens. A key that stands in several rows counts for each of them in the statistics and is
@@ -123,8 +124,8 @@ class Index:
         return rows.groupBy("term").agg(F.sum(F.size("keys")).alias("n_docs"), F.sum(n).alias("n_times"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def build(rows: DataFrame, key: str, *texts: str, path: str, tokenizer: str = "plain", buckets: int = 16, spread: int = 1) -> Index:
-    """Writes the index of rows to a folder. About a bucket a GB of text is meant; `spread` files of a bucket share its frequent terms."""
+def build(rows: DataFrame, key: str, *texts: str, path: str, tokenizer: str = "plain", buckets: int = 16, spread: int = 16) -> Index:
+    """Writes the index of rows to a folder. About a bucket a GB of text is meant; at least `spread` parts of a large bucket share its frequent terms."""
     tokens = L.token_index(rows, key, *texts, tokenizer=tokenizer).select(key, "tokens")
     kind = dict(tokens.dtypes)[key]
 
@@ -136,7 +137,8 @@ def build(rows: DataFrame, key: str, *texts: str, path: str, tokenizer: str = "p
                 block += 1
 
     blocks = tokens.mapInArrow(run, _schema(kind))
-    dealt = blocks.repartition(buckets * spread, "bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)))
+    dealt = blocks.hint("rebalance", "bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index = Index(path, key, kind, tokenizer, buckets)
     whole = index.postings([""])

@@ -231,6 +231,21 @@ def test_inverted_index_reads_only_the_buckets_it_is_asked_for(spark, tmp_path):
     assert "term" in text.split("PushedFilters")[1].split("]")[0]
 
 
+def test_inverted_index_deals_large_buckets(spark, tmp_path):
+    """A term of all rows is cut over tasks by its size, each of which writes a file of its bucket."""
+    from lakelens.operators import inverted
+
+    rows = spark.range(0, 4000, 1, 8).select("id", F.concat_ws(" ", F.lit("common"), F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.lit("w"), F.abs(F.xxhash64("id", i)).cast("string")))).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        index = inverted.build(rows, "id", "text", path=f"file://{tmp_path}/index", buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    held = index.postings(["common"]).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum(F.size("keys")).alias("n")).collect()
+    assert sum(r.n for r in held) == 4000 and len(held) > 4 and max(r.n for r in held) < 4000 / 2
+    assert index.stats().first().asDict() == {"n_docs": 4000, "n_tokens": 4000 * 51}
+
+
 def test_inverted_index_of_nothing(spark, tmp_path):
     from lakelens.operators import inverted
 
