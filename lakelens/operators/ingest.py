@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from lakelens.operators.ordered import lines_with_offsets, spans
 from lakelens.operators.relational import once
@@ -96,6 +96,21 @@ def _vocabulary(path: str):
     return _VOCABULARIES[path]
 
 
+#: Characters that are encoded at once; a longer text goes alone.
+ENCODED = 1 << 18
+
+
+def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """The token ids of each text. Encodings of a few texts are in memory at a time: they take much more room than their ids."""
+    vocabulary = _vocabulary(path)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENCODED, side="right")))
+        yield from (np.array(e.ids, np.int32) for e in vocabulary.encode_batch_fast(texts[at:end], add_special_tokens=False))
+        at = end
+
+
 def token_ends(texts: list[str], path: str) -> list[np.ndarray]:
     """For each text where its tokens end, in characters.
 
@@ -151,7 +166,7 @@ def chunk_papers(papers: DataFrame, markdown: DataFrame, key: str, page_chars: i
     papers: key, title, abstract; markdown: key, markdown. Pages are of `page_chars` characters.
     """
     head = F.trim(F.concat("title", F.lit("\n\n"), "abstract"))
-    first = papers.select(key, F.lit(PAPER).alias("section"), F.lit(-1).cast("long").alias("section_start"), F.lit(-1).alias("i"), head.alias("text"), F.size(tokenizer(vocabulary)(head)).alias("n_tokens"), F.lit(1).cast("long").alias("page_start"), F.lit(1).cast("long").alias("page_end"))
+    first = papers.select(key, F.lit(PAPER).alias("section"), F.lit(-1).cast("long").alias("section_start"), F.lit(-1).alias("i"), head.alias("text"), (token_counts(vocabulary)(head).cast("int") if vocabulary else F.size(tokenizer()(head))).alias("n_tokens"), F.lit(1).cast("long").alias("page_start"), F.lit(1).cast("long").alias("page_end"))
     page = lambda c: F.floor(c / page_chars) + 1
     body = token_chunks(markdown, key, vocabulary, size, overlap) if vocabulary else word_chunks(markdown, key, size, overlap)
     body = body.select(key, "section", "section_start", "i", "text", "n_tokens", page(F.col("char_start")).alias("page_start"), page(F.greatest(F.col("char_start"), F.col("char_end") - 1)).alias("page_end"))
@@ -167,6 +182,19 @@ def tokenizer(path: str | None = None) -> Callable[[Column], Column]:
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
-        return pd.Series([e.ids for e in _vocabulary(path).encode_batch(text.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+        out = pd.Series([None] * len(text), dtype=object)
+        for i, x in enumerate(encoded(text.fillna("").tolist(), path)):
+            out.iat[i] = x
+        return out
 
     return ids
+
+
+def token_counts(path: str) -> Callable[[Column], Column]:
+    """Text to the number of its tokens by a tokenizer file, special strings as text; null has none. The ids stay in the task."""
+
+    @F.pandas_udf(LongType())
+    def counts(text: pd.Series) -> pd.Series:
+        return pd.Series([len(x) for x in encoded(text.fillna("").tolist(), path)], dtype="int64")
+
+    return counts

@@ -183,7 +183,7 @@ def token_chunks(s: SparkSession, d: str) -> DataFrame:
 
 @register("CHK02_byte_pair_counts")
 def byte_pair_counts(s: SparkSession, d: str) -> DataFrame:
-    return M.load(s, d, "documents").select("doc_id", F.size(I.tokenizer(_vocabulary())(F.col("text"))).cast("long").alias("n_tokens"))
+    return M.load(s, d, "documents").select("doc_id", I.token_counts(_vocabulary())(F.col("text")).alias("n_tokens"))
 
 
 @register("WIN09_token_windows")

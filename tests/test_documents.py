@@ -128,6 +128,29 @@ VOCABULARY = "byte_bpe_50k.json"
 TEXTS = ["plain words here", "", "日本語 🙂🙂 𐍈 é é", "<|endoftext|> is text\n\n  here", "x" * 3000, " \t\n", "\u200b\x00\x1c", "a\u3000b" * 50, None]
 
 
+def test_encodings_of_a_few_texts_are_held_at_a_time(spark, monkeypatch):
+    """A batch is encoded by portions of ENCODED characters, and counts are those of whole texts."""
+    import public_tokenizers
+
+    path, calls = public_tokenizers.path(VOCABULARY), []
+
+    class Seen:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append([len(t) for t in texts])
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    some = [t or "" for t in TEXTS] * 5
+    real = I._vocabulary(path)
+    whole = [e.ids for e in real.encode_batch(some, add_special_tokens=False)]
+    monkeypatch.setattr(I, "_vocabulary", lambda path: Seen())
+    monkeypatch.setattr(I, "ENCODED", 200)
+    assert [x.tolist() for x in I.encoded(some, path)] == whole and list(I.encoded([], path)) == []
+    assert sum(calls, []) == [len(t) for t in some] and all(len(c) == 1 or sum(c) <= 200 for c in calls) and len(calls) > 10
+    monkeypatch.undo()
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    assert {r.id: r.n for r in rows.select("id", I.token_counts(path)("text").alias("n")).collect()} == {i: len(x) for i, x in enumerate(whole[: len(TEXTS)])}
+
+
 def test_token_offsets_are_those_of_decoded_prefixes(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
