@@ -166,6 +166,31 @@ def test_knn_batch_in_blocks(spark, monkeypatch):
         assert {r.vec_id for r in one} == {x[1] for x in got}
 
 
+def test_knn_batch_scores_in_bounded_steps(spark, monkeypatch):
+    """However many rows a batch has, a task holds SCORES scores at a time; equal scores go to the smaller id over all steps."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-1, 2)) for _ in range(3)]) for i in range(900)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    q = v.filter("vec_id % 50 = 0")
+    whole = sorted(map(tuple, E.knn_batch(q, v, 7).collect()))
+    held, merge = spark.sparkContext.accumulator(0), E._merge
+
+    def seen(best_s, best_v, s, vec):
+        assert s.size <= 64
+        held.add(1)
+        return merge(best_s, best_v, s, vec)
+
+    monkeypatch.setattr(E, "SCORES", 64)
+    monkeypatch.setattr(E, "_merge", seen)
+    assert sorted(map(tuple, E.knn_batch(q, v, 7).collect())) == whole and len(whole) == 18 * 7 and held.value > 100
+    unit = {i: [x / (sum(y * y for y in e) ** 0.5 or 1) for x in e] for i, e in rows}
+    for a in (0, 50, 850):
+        best = sorted((-round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 6) + 0.0, b) for b in unit)[:7]
+        assert [x[1] for x in sorted(w for w in whole if w[0] == a)] == sorted(b for _, b in best)
+
+
 def test_tools(spark):
     i = search_corpus(spark)
     flagged = spark.createDataFrame([("2401.00001", "cs.CL", 2024, True, "CC"), ("2401.00002", "cs.DS", 2023, False, None)], "paper_id string, category string, year int, indexed boolean, license string")
