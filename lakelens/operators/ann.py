@@ -8,8 +8,9 @@ sample of at most about ``train`` vectors; every vector is indexed. How many cel
 into is measured when the index is built: as many as hold a share of ``recall`` of the true
 neighbours of TRIED vectors of the sample. Vectors that spread evenly need many.
 
-A cell that holds many vectors, or is asked for by many queries, is dealt over several tasks, of
-PART vectors and ASKED queries each. A scope narrows the lists before they are ranked: as many more
+Cells are searched in groups of PART vectors, so that a query travels to a group once and a group
+answers it with a short list, however many of its cells are probed; a cell of more is dealt over
+parts. A group that is asked for by many queries is dealt over several tasks of ASKED queries each. A scope narrows the lists before they are ranked: as many more
 cells are probed as the scope is smaller than the index, and a scope of at most ``exact`` vectors
 is searched whole. Cells are probed until they hold twice as many vectors as are asked for.
 
@@ -27,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PART, ASKED, WORDS, TRIED = 1 << 15, 1 << 11, 256, 128
+PART, ASKED, WORDS, TRIED = 1 << 18, 1 << 13, 256, 128
+#: Scores that a task works out at once.
+SCORES = 1 << 21
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -98,6 +101,37 @@ def learn(rows: DataFrame, width: int, ranges: int, size: int, rounds: int) -> n
     return books
 
 
+def _groups(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of every cell, of at most `most` vectors, and how many parts its group has: several if it is one cell of more."""
+    group, parts, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0
+    at = 0
+    for c, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        group[c], parts[c], held = at, max(1, -(-n // most)), held + n
+    return group, parts
+
+
+def _short(q: np.ndarray, probed: np.ndarray, codes: np.ndarray, cell: np.ndarray, centroids: np.ndarray, words: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the `take` codes of best score of every query, among the cells that it probes (queries x cells); codes are sorted by cell."""
+    n, held_s, held_at = len(q), np.full((len(q), take), -np.inf, np.float32), np.zeros((len(q), take), np.int64)
+    tables = [q.reshape(n, len(words), -1)[:, r] @ book.T for r, book in enumerate(words)]
+    start = q @ centroids.T
+    wanted = np.flatnonzero(probed.any(0)[cell])  # codes of cells that any of these queries probes
+    step = max(1, SCORES // n)
+    for first in range(0, len(wanted), step):
+        some = wanted[first : first + step]
+        score = start[:, cell[some]]
+        for r, table in enumerate(tables):
+            score += table[:, codes[some, r]]
+        score = np.concatenate([held_s, np.where(probed[:, cell[some]], score, -np.inf)], 1)
+        top = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        held_at = np.take_along_axis(np.concatenate([held_at, np.broadcast_to(some, (n, len(some)))], 1), top, 1)
+        held_s = np.take_along_axis(score, top, 1)
+    row, col = np.nonzero(held_s > -np.inf)
+    return row, held_at[row, col], held_s[row, col]
+
+
 _HEAD = "key string, kind string, width int, count long, probes int, cells array<int>, centroids binary, ranges array<int>, words binary"
 
 
@@ -122,21 +156,29 @@ class Ann:
         schema = f"bucket int, cell int, {self.key} {self.kind}, code binary, x array<float>"
         return SparkSession.active().read.schema(schema).parquet(f"{self.path}/lists")
 
-    def _probed(self, queries: DataFrame, probes: int, sizes: np.ndarray, least: int) -> DataFrame:
-        """query_id, cell and q: the nearest cells, `probes` of them or as many as hold `least` vectors; empty ones are left out."""
-        sent = queries.sparkSession.sparkContext.broadcast((self.centroids, sizes))
+    def _probed(self, queries: DataFrame, probes: int, sizes: np.ndarray, least: int, group: np.ndarray) -> DataFrame:
+        """query_id, grp, cells and q: the nearest cells, `probes` of them or as many as hold `least` vectors, a row a group of them; empty ones are left out."""
+        sent = queries.sparkSession.sparkContext.broadcast((self.centroids, sizes, group))
         width = self.width
 
         def run(batches: Batches) -> Batches:
-            centroids, sizes = sent.value
-            for batch in batches:
-                q = _matrix(batch.column(1), width)
-                order = np.argsort(((centroids**2).sum(1) / 2)[None] - q @ centroids.T, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                owner, place = np.nonzero(((np.arange(order.shape[1]) < probes) | (before < least)) & (sizes[order] > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(order[owner, place].astype(np.int32)), batch.column(1).take(pa.array(owner))], names=["query_id", "cell", "q"])
-
-        return queries.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, cell int, q array<float>")
+            centroids, sizes, group = sent.value
+            for whole in batches:
+                step = max(1, SCORES // len(centroids))
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    q = _matrix(batch.column(1), width)
+                    order = np.argsort(((centroids**2).sum(1) / 2)[None] - q @ centroids.T, axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    owner, place = np.nonzero(((np.arange(order.shape[1]) < probes) | (before < least)) & (sizes[order] > 0))
+                    cell = order[owner, place]
+                    by = np.lexsort((group[cell], owner))  # the cells of a query and group stand together, nearest first
+                    owner, cell = owner[by], cell[by]
+                    first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(group[cell], prepend=-1)) if len(cell) else np.empty(0, np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                    at = pa.array(owner[first])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(group[cell[first]].astype(np.int32)), lists, batch.column(1).take(at)], names=["query_id", "grp", "cells", "q"])
+
+        return queries.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, grp int, cells array<int>, q array<float>")
 
     def search(self, queries: DataFrame, k: int, scope: DataFrame | None = None, probes: int | None = None, short: int = 8, exact: int = 1 << 12) -> DataFrame:
         """query_id, key, score (cosine) and rank of the k nearest of every query (query_id, embedding)."""
@@ -152,33 +194,38 @@ class Ann:
         inside = int(sizes.sum())
         if inside < self.count:
             probes = len(sizes) if inside <= exact else min(len(sizes), -(-probes * self.count // inside))
-        near = self._probed(asked, probes, sizes, 2 * k)
-        # how many vectors a cell holds and how many ask for it decides over how many tasks it is dealt
-        held = queries.sparkSession.createDataFrame([(i, -(-int(n) // PART)) for i, n in enumerate(sizes) if n], "cell int, parts int")
-        wanted = near.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("turns"))
-        cells = F.broadcast(held.join(wanted, "cell"))  # a row a cell
+        group, parts = _groups(sizes, PART)
+        near = self._probed(asked, probes, sizes, 2 * k, group)
+        # how many vectors a group holds and how many ask for it decides over how many tasks it is dealt
+        held = queries.sparkSession.createDataFrame([(i, int(group[i]), int(parts[i])) for i, n in enumerate(sizes) if n], "cell int, grp int, parts int")
+        wanted = near.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("turns"))
+        cells = F.broadcast(held.join(wanted, "grp"))  # a row a cell
+        groups = F.broadcast(held.groupBy("grp").agg(F.max("parts").alias("parts")).join(wanted, "grp"))
         of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        left = near.join(cells, "cell").select("query_id", "cell", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), of("query_id", "turns").alias("turn"))
-        right = rows.select(self.key, "cell", "code").join(cells, "cell").select(self.key, "cell", "code", of(self.key, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        left = near.join(groups, "grp").select("query_id", "grp", "cells", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), of("query_id", "turns").alias("turn"))
+        right = rows.select(self.key, "cell", "code").join(cells, "cell").select(self.key, "grp", "cell", "code", of(self.key, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
         sent = queries.sparkSession.sparkContext.broadcast((self.centroids, self.words))
         width, key, take = self.width, self.key, k * short
         q_kind = dict(queries.dtypes)["query_id"]
 
         def rank(asks: pa.Table, lists: pa.Table) -> pa.Table:
             centroids, words = sent.value
-            if not len(asks) or not len(lists):
-                return pa.table({"query_id": asks["query_id"].slice(0, 0), key: lists[key].slice(0, 0), "near": pa.array([], pa.float32())})
-            q = _matrix(asks["q"], width)
-            codes = np.frombuffer(b"".join(lists["code"].to_pylist()), np.uint8).reshape(len(lists), len(words))
-            score = np.repeat((q @ centroids[asks["cell"][0].as_py()])[:, None], len(codes), 1)
-            for r, book in enumerate(words):
-                score += (q.reshape(len(q), len(words), -1)[:, r] @ book.T)[:, codes[:, r]]
-            n = min(take, score.shape[1])
-            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            owner = pa.array(np.repeat(np.arange(len(q)), n))
-            return pa.table({"query_id": asks["query_id"].take(owner), key: lists[key].take(pa.array(top.ravel())), "near": pa.array(np.take_along_axis(score, top, 1).ravel())})
-
-        by = ("cell", "part", "turn")
+            out = [pa.table({"query_id": asks["query_id"].slice(0, 0), key: lists[key].slice(0, 0), "near": pa.array([], pa.float32())})]
+            if len(asks) and len(lists):
+                lists = lists.sort_by("cell")
+                codes = np.frombuffer(b"".join(lists["code"].to_pylist()), np.uint8).reshape(len(lists), len(words))
+                own, cell = np.unique(lists["cell"].to_numpy(), return_inverse=True)
+                asks = asks.take(pa.array(np.argsort([c[0] for c in asks["cells"].to_pylist()], kind="stable")))  # queries alike stand together
+                for at in range(0, len(asks), 256):
+                    some = asks.slice(at, 256)
+                    probed = np.zeros((len(some), len(centroids)), bool)
+                    asked = some["cells"].combine_chunks()
+                    probed[np.repeat(np.arange(len(some)), np.asarray(asked.value_lengths())), np.asarray(asked.flatten())] = True
+                    row, place, score = _short(_matrix(some["q"], width), probed[:, own], codes, cell, centroids[own], words, take)
+                    out.append(pa.table({"query_id": some["query_id"].take(pa.array(row)), key: lists[key].take(pa.array(place)), "near": pa.array(score)}))
+            return pa.concat_tables(out)
+
+        by = ("grp", "part", "turn")
         ranked = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, f"query_id {q_kind}, {key} {self.kind}, near float")
         turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), key))
         few = ranked.withColumn("turn", turn).filter(F.col("turn") <= take).select("query_id", key)  # k * short a query

@@ -80,3 +80,20 @@ def test_odd_queries_and_empty_tables(spark, made, tmp_path):
     assert ann.load(empty.path).search(asked(rows), 3).count() == 0
     few = ann.build(rows.filter("vec_id in (1, 900)"), "vec_id", f"file://{tmp_path}/few")
     assert {r.vec_id for r in few.nearest(vectors()[900][1], 5).collect()} == {1, 900}
+
+
+def test_a_query_travels_to_a_group_of_cells_once(made):
+    """However many cells are probed, a query is a row a group of cells; groups hold a bounded number of vectors or a part of one cell."""
+    rows, index = made
+    q = ann.directions(asked(rows), "query_id", WIDTH)
+    sizes = np.zeros(24, np.int64)
+    for r in index.lists().groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    one = index._probed(q, 20, sizes, 20, ann._groups(sizes, 1 << 18)[0]).collect()
+    assert len(one) == q.count() == 30 and min(len(r.cells) for r in one) >= 18
+    group, parts = ann._groups(sizes, 64)
+    many = index._probed(q, 20, sizes, 20, group).collect()
+    of = lambda found: {(r.query_id, c) for r in found for c in r.cells}
+    assert of(many) == of(one) and len({(r.query_id, r.grp) for r in many}) == len(many) > 30
+    held = np.bincount(group, sizes)
+    assert all(held[group[c]] <= 64 or (held[group[c]] == sizes[c] and parts[c] == -(-sizes[c] // 64)) for c in np.flatnonzero(sizes))
