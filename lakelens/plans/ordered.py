@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
@@ -137,10 +137,16 @@ facets AS (SELECT c.paper_id, month, CAST(CASE WHEN p.year <= 1994 THEN coalesce
 
 
 def _keys(s: SparkSession, d: str) -> DataFrame:
+    """paper_id, year and key, distinct. Keys of a paper stay one list until it has met its year: rows of single keys would be held by the million to tell them apart."""
     years = M.papers(s, d).select("paper_id", "year")
-    names = M.catalog(s, d).filter("authors <> ''").select("paper_id", F.explode(F.split("authors", ", | and ")).alias("name")).join(years, "paper_id")
-    part = F.split("name", " ")
-    return names.select("paper_id", "year", T.author_key(F.element_at(part, 2), F.element_at(part, 1)).alias("key")).distinct()
+
+    def key(name: Column) -> Column:
+        part = F.split(name, " ")
+        return T.author_key(F.try_element_at(part, F.lit(2)), F.try_element_at(part, F.lit(1)))
+
+    papers = M.catalog(s, d).filter("authors <> ''").select("paper_id", F.array_distinct(F.transform(F.split("authors", ", | and "), key)).alias("keys"))
+    lists = papers.join(years, "paper_id").groupBy("paper_id", "year").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    return lists.select("paper_id", "year", F.explode("keys").alias("key"))
 
 
 def _old(s: SparkSession, d: str) -> DataFrame:

@@ -82,3 +82,13 @@ def test_backfill(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, "v1")], "k int, license string, version string")
     snap = spark.createDataFrame([(1, None, "v9"), (2, "b", "v9")], "k int, license string, version string")
     assert sorted(map(tuple, R.backfill(df, snap, "k", ["license"], ["version"]).collect())) == [(1, "a", "v9"), (2, "b", "v1")]
+
+
+def test_author_keys_are_told_apart_within_their_paper(spark):
+    """Keys are distinct, and no row of a single key is held to make them so: nothing is aggregated after they are laid out."""
+    from lakelens.plans import ordered
+
+    keys = ordered._keys(spark, "/root/testdata/sf0.001")
+    assert 0 < keys.count() == keys.distinct().count()
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate" not in plan[: plan.index("Generate")]
