@@ -133,3 +133,31 @@ def test_copies_and_few_points(spark, keep):
     assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(40, 50)} == {40} and got[50] == -1
     assert {r.label for r in D.clusters(table(spark, x[:3]), 5, 3, keep).collect()} == {-1}
     assert D.clusters(table(spark, x).limit(0), 5, 3, keep).count() == 0
+
+
+def test_evenly_spread_points_visit_few_groups(spark, keep, monkeypatch):
+    x = np.random.default_rng(3).uniform(-1, 1, (800, 10)).astype(np.float32)
+    monkeypatch.setattr(D, "PART", 200)
+    sent, visits = [], D.Cells.visits
+
+    def counted(self, *args):
+        rows = keep(visits(self, *args), "visits")
+        sent.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(D.Cells, "visits", counted)
+    cells = D.Cells(table(spark, x), keep)
+    cores = D.core_distances(cells, 5)
+    tree = keep(D.spanning_tree(cells, cores), "all")
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 4]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    near, inside, total = np.full(800, np.inf), np.zeros(800, bool), 0.0
+    p = 0
+    for _ in range(799):
+        inside[p] = True
+        near = np.where(inside, np.inf, np.minimum(near, m[p]))
+        p = int(near.argmin())
+        total += near[p]
+    assert tree.count() == 799 and abs(sum(r.w for r in tree.collect()) - total) < 1e-6
+    assert sum(sent) < 15 * 800  # a point goes to each group once, and some points a few times more
