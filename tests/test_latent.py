@@ -71,3 +71,22 @@ def test_few_texts(spark, keep):
     assert {r.id for r in model.embed(rows, "id", "text").collect()} == {1, 2, 3, 4} and (model.values[2:] < 1e-6).all()
     none = latent.learn(rows.limit(0), "id", "text", keep, rank=3, rounds=1)
     assert none.embed(rows, "id", "text").count() == 0
+
+
+def test_vectors_travel_once_a_part_and_term(spark, keep):
+    words = [f"w{j}" for j in range(60)]
+    texts = [(i, " ".join(words[j] for j in range(60) if (i + j) % 3)) for i in range(300)]
+    rows = spark.createDataFrame([*texts, (0, "w0 more"), (1, "more")], "id long, text string").repartition(3)
+    sizes = []
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes.append(out.count())
+        return out
+
+    model = latent.learn(rows, "id", "text", counted, rank=5, rounds=2, most=0.9)
+    assert max(sizes) < 302 + 4 * 62 < 300 * 40  # texts, and terms of four parts; not a row an occurrence
+    joined = dict(texts) | {0: f"{texts[0][1]} w0 more", 1: f"{texts[1][1]} more"}  # rows of a key are one text
+    df = {w: sum(w in t.split() for t in joined.values()) for w in [*words, "more"]}
+    a = np.array([[(1 + np.log(t.split().count(w))) * np.log(302 / df[w]) if w in t.split() else 0.0 for w in df] for t in joined.values()])
+    assert np.allclose(model.values[:2], np.linalg.svd(a, compute_uv=False)[:2], rtol=0.02)
