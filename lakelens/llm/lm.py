@@ -33,6 +33,8 @@ from lakelens.llm.shared import LOWER, SPACED, U64, keep, pick, portions, utf8,
 
 END = U64(0x0E4D0E4D0E4D0E4D)
 FREQUENT = 1 << 18
+#: Leading bits of a hash by which it is looked up.
+INDEX = 20
 #: Bytes of text whose sequences run side by side.
 SIDE = 24 << 20
 PARTS = 16
@@ -104,13 +106,29 @@ class Vocabulary:
     rest: int
     rest_kinds: int
 
+    def __post_init__(self) -> None:
+        # where hashes of each beginning start, and values with a last one for what is not there
+        self.starts = np.searchsorted(self.hashes >> U64(64 - INDEX), np.arange((1 << INDEX) + 1, dtype=U64)).astype(np.int32)
+        self.counts_ = np.append(self.counts, 0)
+        self.words_ = np.append(self.words, gru.WORDS - 1)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each is frequent, its count, its word."""
         if not len(self.hashes):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.full(len(h), gru.WORDS - 1)
-        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        on = self.hashes[k] == h
-        return on, np.where(on, self.counts[k], 0), np.where(on, self.words[k], gru.WORDS - 1)
+        cell = (h >> U64(64 - INDEX)).astype(np.int64)
+        k = np.take(self.starts, cell)
+        on = np.take(self.hashes, k, mode="clip") == h
+        more = np.flatnonzero(~on)
+        more = more[k[more] + 1 < np.take(self.starts, cell[more] + 1)]
+        while len(more):  # a few hashes begin alike
+            k[more] += 1
+            got = self.hashes[k[more]] == h[more]
+            on[more[got]] = True
+            more = more[~got]
+            more = more[k[more] + 1 < np.take(self.starts, cell[more] + 1)]
+        k = np.where(on, k, len(self.hashes))
+        return on, np.take(self.counts_, k), np.take(self.words_, k)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:

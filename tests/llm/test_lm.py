@@ -56,6 +56,49 @@ def test_gradients():
         assert abs((up - down) / (2 * eps) / m - g[i]) < 1e-4
 
 
+def test_places_of_texts_that_end_are_taken_by_the_next():
+    rng = np.random.default_rng(2)
+    n = np.array([gru.STEPS * k for k in range(1, 41)] + [0, 1])
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    net = gru.Net.new(2)
+    adam = gru.Adam(net)
+    assert gru.train(net, rng.integers(0, 50, offsets[-1]), offsets, adam, rows=4) == n.sum()
+    assert adam.t <= 1.03 * sum(range(1, 41)) / 4  # windows; groups that end each for itself take 220
+
+
+def test_large_outputs():
+    rng = np.random.default_rng(6)
+    net = gru.Net.new(6)
+    net.word *= 500
+    assert not net.bounded()
+    h, y = np.tanh(rng.standard_normal((64, gru.STATE)) * 3).astype(np.float32), rng.integers(0, gru.WORDS, 64)
+    got = net.log_probability(h, y)
+    for a, k, p in zip(h.astype(float), y, got, strict=True):
+        want = 0.0
+        for x, i in ((a @ net.group + net.group_bias, k // gru.SIZE), (a @ net.word[k // gru.SIZE] + net.word_bias[k // gru.SIZE], k % gru.SIZE)):
+            want += x[i] - x.max() - np.log(np.exp(x - x.max()).sum())
+        assert abs(p - want) < 1e-3 * max(1, abs(want))
+
+
+def test_sums_of_runs():
+    x = np.random.default_rng(8).standard_normal((300, 5))
+    for first in ([0], [0, 1, 2, 40, 56, 71, 299], list(range(300))):
+        got = gru.sums_of_runs(x, np.array(first))
+        assert np.allclose(got, [x[a:z].sum(0) for a, z in zip(first, [*first[1:], 300], strict=True)])
+
+
+def test_hashes_that_begin_alike_are_found():
+    rng = np.random.default_rng(9)
+    h = np.unique(np.concatenate([rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2), np.uint64(7 << 50) + np.arange(9, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    v = lm.Vocabulary(h, np.arange(1, len(h) + 1), np.arange(len(h)) % gru.WORDS, np.zeros(gru.WORDS), 1, 1, 1, 1)
+    ask = np.concatenate([h, h + np.uint64(1), np.uint64(7 << 50) + np.arange(20, dtype=np.uint64)])
+    have = {int(x): i for i, x in enumerate(h)}
+    on, c, word = v.find(ask)
+    for i, x in enumerate(ask):
+        k = have.get(int(x))
+        assert (bool(on[i]), c[i], word[i]) == ((False, 0, gru.WORDS - 1) if k is None else (True, k + 1, k % gru.WORDS))
+
+
 def test_windows_carry_the_state():
     rng = np.random.default_rng(5)
     net = gru.Net.new(5)
